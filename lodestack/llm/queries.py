@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, exact_dedup, jaccard_join, sharding
+from lodestack.llm import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 13-word windows that a document with a smaller id has."""
+    out = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=13)
+    removed = F.aggregate("removed", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside any 10-word window of a benchmark item."""
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
@@ -44,6 +51,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_sharding": op7_sharding,
