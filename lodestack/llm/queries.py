@@ -6,7 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, exact_dedup, jaccard_join, sharding, substring_dedup
+from lodestack.llm import decontaminate, exact_dedup, jaccard_join, packing, sharding, substring_dedup, warc
+from lodestack.llm.workspace import Workspace
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, equal payloads of 1000 bytes or more once, and read back."""
+    path = Workspace(spark, "warc-archive").path("pages")
+    out = warc.round_trip(_table(spark, sf_dir, "pages"), path, least=1000)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token sequences of at most 2048 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes."""
     out = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
@@ -54,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
 }
 
@@ -65,4 +83,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+        g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS keep FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS intact
+        FROM g""",
 }

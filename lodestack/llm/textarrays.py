@@ -136,10 +136,10 @@ def pieces(bounds: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def batches(column: pa.Array, separators: np.ndarray = SPACES, lower: bool = False) -> Iterator[tuple[int, int, Batch]]:
-    """A string column as Batches of bounded size: (from row, to row, words)."""
+def batches(column: pa.Array, separators: np.ndarray = SPACES, lower: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, Batch]]:
+    """A string column as Batches of about limit bytes: (from row, to row, words)."""
     buf, bounds = utf8(column)
-    for i, j in pieces(bounds):
+    for i, j in pieces(bounds, limit):
         yield i, j, Batch(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], separators, lower)
 
 
