@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import decontaminate, exact_dedup, jaccard_join, packing, sharding, substring_dedup, warc
+from lodestack.llm import class_lm, decontaminate, exact_dedup, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, warc
 from lodestack.llm.workspace import Workspace
 
 #: Folder of the public tokenizers' files.
@@ -65,6 +65,29 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of documents by the class model and by its unigram base, learnt from nine tenths of them."""
+    return class_lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents by their lines."""
+    docs = _table(spark, sf_dir, "documents")
+    field = line_crf.train(docs, _table(spark, sf_dir, "labels"))
+    out = line_crf.score(docs.select("doc_id", "text"), field)
+    return out.select("doc_id", (~line_crf.may_learn(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in documents."""
+    out = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
+    return out.select(
+        "doc_id", "n_blocks", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"),
+        F.to_json("findings").alias("findings"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_class_lm": op8_class_lm,
+    "op9_line_crf": op9_line_crf,
+    "op10_license_scan": op10_license_scan,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
