@@ -55,9 +55,9 @@ def with_cost(rows: DataFrame, model: str, tokens_in: str, tokens_out: str) -> D
     prices = rows.sparkSession.createDataFrame(list(PRICES), "_model string, _in double, _out double")
     default = next(p for p in PRICES if p[0] == DEFAULT_MODEL)
     out = rows.join(F.broadcast(prices), F.lower(F.col(model)) == F.col("_model"), "left")  # a handful of rows
-    a = F.col(tokens_in) / 1e6 * F.coalesce("_in", F.lit(default[1]))
-    b = F.col(tokens_out) / 1e6 * F.coalesce("_out", F.lit(default[2]))
-    return out.select(*rows.columns, F.round(a, 6).alias("input_cost"), F.round(b, 6).alias("output_cost"), F.round(a + b, 6).alias("total_cost"))
+    a, b = F.col(tokens_in) * F.coalesce("_in", F.lit(default[1])), F.col(tokens_out) * F.coalesce("_out", F.lit(default[2]))
+    dollars = lambda micro: F.round(micro) / 1e6  # noqa: E731  whole millionths, so ties are exact
+    return out.select(*rows.columns, dollars(a).alias("input_cost"), dollars(b).alias("output_cost"), dollars(a + b).alias("total_cost"))
 
 
 def assertion(kind: Column, text: Column, value: Column) -> Column:
