@@ -12,6 +12,10 @@ pairs expected to collide on small subsets.
 Before that, classes without a partner are dropped by a bound on necessary elements: linked sets share
 one of their floor((1 - threshold) * n) + 1 smallest shingle hashes.
 
+Each set also has a parity sketch: how many of its elements fall to each of 512 places, modulo 2. Sketches of
+two sets differ in at most as many places as the sets do in elements, so a pair whose sketches differ in more
+than a link allows is left out before it is made. This bound is exact: it drops no link.
+
 Key groups are resolved in rounds. In each round a group's pivot (of its smallest component) is compared
 with all members of other components, exactly, on the texts; links merge components; a group is done when
 it has one component or no pair left. Rounds emit as many pairs as there are members, never all pairs,
@@ -22,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +43,15 @@ from lodestack.llm.workspace import Workspace, attach, bucket_count
 PAIR_COST = 300.0
 #: Records that a task packs at once; bounds its memory.
 FLUSH = 1_500_000
+#: Longs of a parity sketch.
+PARITY = 8
+SKETCH = [f"p{i}" for i in range(PARITY)]
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Elements at each of 64 * PARITY places modulo 2, as longs."""
+    counts = np.bincount((mix(s, 17) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def shingle_sets(b: Batch, k: int) -> Iterator[np.ndarray]:
@@ -138,19 +152,21 @@ def similarity_classes(
 
     def describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
-            n, s1, s2 = [], [], []
+            n, s1, s2, parity = [], [], [], [np.zeros((0, PARITY), np.int64)]
             for _, _, b in batches(rb.column(1), lower=True):
                 for s in shingle_sets(b, k):
                     n.append(len(s))
+                    parity.append(parity_sketch(s)[None, :])
                     s1.append(int(np.add.reduce(mix(s, 1))))
                     s2.append(int(np.add.reduce(mix(s, 2))))
+            places = np.concatenate(parity)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), pa.array(n, pa.int64()), *[pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2)]],
-                ["_id", "n", "s1", "s2"],
+                [rb.column(0), pa.array(n, pa.int64()), *[pa.array(signed(np.array(x, np.uint64))) for x in (s1, s2)], *[pa.array(places[:, i]) for i in range(PARITY)]],
+                ["_id", "n", "s1", "s2", *SKETCH],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    described = ws.save(source.mapInArrow(describe, f"_id {kind}, n long, s1 long, s2 long"), "sets")
+    described = ws.save(source.mapInArrow(describe, f"_id {kind}, n long, s1 long, s2 long, " + ", ".join(f"{p} long" for p in SKETCH)), "sets")
 
     def send(*parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if parts[0]:
@@ -171,7 +187,7 @@ def similarity_classes(
             yield from send(key, s1)
 
     partners = _shared(source.select("_text").mapInArrow(prefixes, exchange.schema(2)), flags=False).select("s1").distinct()
-    classes = described.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.max("n").alias("n"))
+    classes = described.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in SKETCH])
     classes = ws.save(classes.join(partners, "s1", "left_semi").where("rep IS NOT NULL"), "classes")
 
     # texts of one document of each class that is left
@@ -205,8 +221,9 @@ def similarity_classes(
             yield from send(key, s1, whole)
 
     found = _shared(texts.select("text", "s1").mapInArrow(sign, exchange.schema(3)), flags=True)
-    reps = classes.select("s1", "rep", "n")
-    members = ws.save(found.join(reps, "s1").select("key", "rep", "n").distinct(), "members")
+    reps = classes.select("s1", "rep", "n", *SKETCH)
+    columns = ["key", "rep", "n", *SKETCH]
+    members = ws.save(found.distinct().join(reps, "s1").select(columns), "members")
 
     links = checked = labels = None
     pivots_each = 1
@@ -214,7 +231,7 @@ def similarity_classes(
         at = members.withColumn("component", F.col("rep"))
         if labels is not None:
             at = members.join(labels, members["rep"] == labels["id"], "left").select(
-                "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+                *columns, F.coalesce("component", "rep").alias("component")
             )
         unlike = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
         at = ws.save(at.join(unlike.select("key"), "key"), "open")
@@ -225,11 +242,12 @@ def similarity_classes(
         order = Window.partitionBy("key").orderBy("c", "component", "rep")
         pivots = (
             at.join(share, ["key", "component"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots_each)
-            .select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("own"))
+            .select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("own"), *[F.col(p).alias(f"pivot_{p}") for p in SKETCH])
         )
         pivots = ws.save(pivots, "pivots")
+        apart = reduce(Column.__add__, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"pivot_{p}"))) for p in SKETCH])
         pairs = (
-            at.join(pivots, "key").where("component <> own")
+            at.join(pivots, "key").where("component <> own").where(apart * (den + num) <= (den - num) * (F.col("n") + F.col("pn")))
             .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.least("n", "pn").alias("lo"), F.greatest("n", "pn").alias("hi"))
             .where(F.col("lo") * den >= F.col("hi") * num).select("a", "b").distinct()
         )
@@ -238,14 +256,14 @@ def similarity_classes(
         now = ws.save(_verified(pairs, texts, k, num, den), "verified")
         # pivots have met every other component of their group, so they leave it
         gone = pivots.select("key", F.col("pivot").alias("rep"))
-        members = ws.save(at.join(gone, ["key", "rep"], "left_anti").select("key", "rep", "n"), "members")
+        members = ws.save(at.join(gone, ["key", "rep"], "left_anti").select(columns), "members")
         ws.drop(at, pivots)
         checked = now.select("a", "b") if checked is None else checked.union(now.select("a", "b"))
         new = now.where("linked").select("a", "b")
         if new.limit(1).count():
             links = new if links is None else links.union(new)
             labels = connected_components(links, ws)
-        pivots_each = 1 if turn < 1 else pivots_each * 4  # near copies have merged by then
+        pivots_each = 16 if turn == 0 else pivots_each * 8  # near copies have merged by then
     every = described.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     every = every.withColumn("component", F.col("rep"))
     if labels is not None:

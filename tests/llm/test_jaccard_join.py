@@ -82,6 +82,16 @@ def test_every_linked_pair_shares_a_key():
                 assert keys[0][0] & keys[1][1] or keys[0][1] & keys[1][0]
 
 
+def test_sketches_differ_in_no_more_places_than_sets_in_elements():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, cut, more = (int(rng.integers(0, x)) for x in (2000, 50, 50))
+        s = rng.integers(0, 2**63, n, np.uint64)
+        t = np.concatenate([s[cut:], rng.integers(0, 2**63, more, np.uint64)])
+        a, b = (jaccard_join.parity_sketch(np.unique(x)).view(np.uint64) for x in (s, t))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(s, t))
+
+
 def test_large_near_copy_group_and_empty_table(spark):
     base = [f"v{i}" for i in range(60)]
     rows = [(i, " ".join(base[:50] + [f"u{i}"] + base[50:])) for i in range(150)] + [(900, None)]
