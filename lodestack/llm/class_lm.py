@@ -41,7 +41,7 @@ PASSES = 6
 SMOOTH_WORD = 0.1
 SMOOTH_CLASS = 0.5
 #: Records that a task packs at once; bounds its memory.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: The end of a document, as a word hash.
 END = np.uint64(0x5EED_0F_E17D_0C5)
 
@@ -119,7 +119,7 @@ def _gatherer(buckets: int, keys_of: Callable[[Batch], tuple[np.ndarray, np.ndar
             yield from exchange.pack((mix(key, salt) % np.uint64(buckets)).astype(np.int64), arrays)
 
         for rb in rows:
-            for _, _, b in batches(rb.column(0), lower=True, limit=4 << 20):
+            for _, _, b in batches(rb.column(0), lower=True, limit=2 << 20):
                 keys, tag = keys_of(b)
                 key, first, count = np.unique(keys, return_index=True, return_counts=True)
                 held.append((key, count, tag[first] if tag is not None else None))
@@ -160,6 +160,23 @@ def _likelihood(n: np.ndarray) -> float:
     return f(n) - f(n.sum(0)) - f(n.sum(1))
 
 
+def _frequent(vocabulary: DataFrame, about: int) -> DataFrame:
+    """About so many of the most frequent words: all over a count, and of those near it a share by hash.
+
+    The counts' logarithms, cut to at most some thousand steps, give the place; so no task sends its own top words.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    words = vocabulary.where("ending >= 0").withColumn("_step", step)
+    room, at, share = about, 0, 1.0
+    for r in sorted(words.groupBy("_step").count().collect(), key=lambda r: -r["_step"]):
+        at, share = r["_step"], min(1.0, room / r["count"])
+        room -= r["count"]
+        if room <= 0:
+            break
+    near = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return words.where((F.col("_step") > at) | ((F.col("_step") == at) & near)).select("h", "n")
+
+
 def exchange_pass(left: np.ndarray, right: np.ndarray, own: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """Move each movable unit to its best class. left[u, c]: tokens of class c before u; right: after; own: u after u."""
     classes = classes.copy()
@@ -216,7 +233,7 @@ def train(
     sent = texts.mapInArrow(_gatherer(buckets, words, 3), exchange.schema(3))
     vocabulary = ws.save(sent.groupBy("bucket").applyInPandas(total, "h long, n long, ending short"), "words")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = vocabulary.where("ending >= 0").orderBy(F.desc("n"), "h").limit(max(units, head)).toPandas()  # a bounded number
+    top = _frequent(vocabulary, max(units, head)).toPandas().sort_values(["n", "h"], ascending=[False, True])  # a bounded number
     top_h = top["h"].to_numpy(np.int64).view(np.uint64)
     unit_words = np.sort(top_h[:units])
     order = np.argsort(top_h)
@@ -327,7 +344,7 @@ def score(docs: DataFrame, model: ClassModel, ws: Workspace, id_col: str = "doc_
         log_counts = np.log10(counts + SMOOTH_WORD)
         log_end, known_end = np.log10(end_row + SMOOTH_WORD), end_row > 0
         for rb in rows:
-            for lo, hi, b in batches(rb.column(1), lower=True, limit=4 << 20):
+            for lo, hi, b in batches(rb.column(1), lower=True, limit=2 << 20):
                 h, ending, doc, first = _tokens(b)
                 docs_ = hi - lo
                 c = classes[_units_of(h, ending, unit)]
