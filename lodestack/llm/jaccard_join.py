@@ -9,8 +9,10 @@ So every linked pair shares a key: (segment, subset), or (segment, subset less o
 (segment, subset). How many segments get deletions is chosen for each band by cost: keys written against
 pairs expected to collide on small subsets.
 
-Before that, classes without a partner are dropped by a bound on necessary elements: linked sets share
-one of their floor((1 - threshold) * n) + 1 smallest shingle hashes.
+Before that, classes that can have no partner are dropped by a bound on necessary elements. A set of n elements
+has at most e(n) = floor((1 - threshold) * n) that a linked set lacks, so the j-th smallest common hash is among
+the e(n) + j smallest of each. Each set sends its e(n) + l(n) smallest, l(n) being a tenth of n; so linked sets
+share at least l(smaller size) of those sent, and a class that shares fewer with all others together is dropped.
 
 Each set also has a parity sketch: how many of its elements fall to each of 512 places, modulo 2. Sketches of
 two sets differ in at most as many places as the sets do in elements, so a pair whose sketches differ in more
@@ -43,6 +45,8 @@ from lodestack.llm.workspace import Workspace, attach, bucket_count
 PAIR_COST = 300.0
 #: Records that a task packs at once; bounds its memory.
 FLUSH = 1_500_000
+#: A set of n sends n // EXTRA necessary elements more than a linked set may lack.
+EXTRA = 10
 #: Longs of a parity sketch.
 PARITY = 8
 SKETCH = [f"p{i}" for i in range(PARITY)]
@@ -108,8 +112,22 @@ def segment_keys(s: np.ndarray, band: int, m: int, d: int) -> tuple[np.ndarray,
     return np.concatenate([whole, near]), np.concatenate([np.ones(m, np.uint8), np.zeros(few, np.uint8)])
 
 
+def lacking(n: int, num: int, den: int) -> int:
+    """Elements of a set of n that a linked set may lack."""
+    return n * (den - num) // den
+
+
+def extra(n: int, num: int, den: int) -> int:
+    """Necessary elements that a set of n sends beyond those that a linked set may lack. Rises with n."""
+    return min(max(1, n // EXTRA), n - lacking(n, num, den))
+
+
+def _extra(n: Column, num: int, den: int) -> Column:
+    return F.least(F.greatest(F.lit(1), F.floor(n / EXTRA)), n - F.floor(n * (den - num) / den))
+
+
 def _shared(records: DataFrame, flags: bool) -> DataFrame:
-    """(key, s1) of keys that two different sets have; with flags, one of them as a whole subset."""
+    """(key, s1) of keys that two different sets have; with flags, one of them as a whole subset. Without: (s1, shared), keys counted."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         key, s1, *whole = exchange.unpack(pdf, np.uint64, np.int64, *[np.uint8] * flags)
@@ -122,9 +140,12 @@ def _shared(records: DataFrame, flags: bool) -> DataFrame:
         for w in whole:
             many &= np.bincount(run, weights=w[order]) >= 1
         keep = first & many[run]
+        if not flags:
+            sets, shared = np.unique(s1[keep], return_counts=True)
+            return pd.DataFrame({"s1": sets, "shared": shared})
         return pd.DataFrame({"key": signed(key[keep]), "s1": s1[keep]})
 
-    return records.groupBy("bucket").applyInPandas(group, "key long, s1 long")
+    return records.groupBy("bucket").applyInPandas(group, "key long, s1 long" if flags else "s1 long, shared long")
 
 
 def _once(key: np.ndarray, s1: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -179,16 +200,18 @@ def similarity_classes(
             for _, _, b in batches(rb.column(0), lower=True):
                 for s in shingle_sets(b, k):
                     if len(s):
-                        key.append(s[: len(s) * (den - num) // den + 1])
+                        key.append(s[: lacking(len(s), num, den) + extra(len(s), num, den)])
                         s1.append(signed(np.full(len(key[-1]), np.add.reduce(mix(s, 1)), np.uint64)))
                 if sum(map(len, key)) > FLUSH:
                     yield from send(key, s1)
                     key, s1 = [], []
             yield from send(key, s1)
 
-    partners = _shared(source.select("_text").mapInArrow(prefixes, exchange.schema(2)), flags=False).select("s1").distinct()
+    partners = _shared(source.select("_text").mapInArrow(prefixes, exchange.schema(2)), flags=False).groupBy("s1").agg(F.sum("shared").alias("shared"))
     classes = described.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in SKETCH])
-    classes = ws.save(classes.join(partners, "s1", "left_semi").where("rep IS NOT NULL"), "classes")
+    smallest = F.ceil(F.col("n") * num / den)  # of a linked set
+    classes = classes.join(partners, "s1").where(F.col("shared") >= _extra(smallest, num, den)).drop("shared")
+    classes = ws.save(classes.where("rep IS NOT NULL"), "classes")
 
     # texts of one document of each class that is left
     texts = source.join(classes.select(F.col("rep").alias("_id"), "n", "s1"), "_id").dropDuplicates(["_id"])

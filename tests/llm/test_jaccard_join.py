@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lodestack.llm import jaccard_join
-from lodestack.llm.jaccard_join import bands, choose_schemas, segment_keys, similarity_classes
+from lodestack.llm.jaccard_join import bands, choose_schemas, extra, lacking, segment_keys, similarity_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,3 +98,22 @@ def test_large_near_copy_group_and_empty_table(spark):
     got = {r["doc_id"]: r["component_id"] for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10).collect()}
     assert got == {**dict.fromkeys(range(150), 0), 900: 900}
     assert similarity_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("num", "den"), [(8, 10), (90, 100), (1, 2), (1, 3), (1, 1)])
+def test_linked_sets_share_the_necessary_elements(num, den):
+    rng = random.Random(num)
+    linked = 0
+    for _ in range(3000):
+        n = rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 90])
+        both = rng.randint(max(1, n * num // den - 1), n)
+        a, b, c = range(both), range(1000, 1000 + n - both), range(2000, 2000 + rng.randint(0, n))
+        if den * both < num * (both + len(b) + len(c)):
+            continue
+        linked += 1
+        order = rng.sample(range(3000), 3000)
+        x, y = (sorted((*a, *own), key=order.__getitem__) for own in (b, c))
+        sent = [set(s[: lacking(len(s), num, den) + extra(len(s), num, den)]) for s in (x, y)]
+        for s in (x, y):
+            assert len(sent[0] & sent[1]) >= extra(-(-len(s) * num // den), num, den)
+    assert linked > 300
