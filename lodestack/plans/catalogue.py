@@ -268,6 +268,24 @@ def ledger_chain_verify(spark, sf_dir):
     )
 
 
+@query(f"""WITH s AS (SELECT *, {_sign(_TRUE)} AS signature FROM events),
+           p AS (SELECT *, lag(signature) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_signature,
+                        CASE WHEN event_id % 97 = 0 THEN 'forged' ELSE event_type END AS kind FROM s),
+           k AS (SELECT user_id, event_id, event_id % 83 <> 0 AS readable, signature = {_sign(_SEEN)} AS good, coalesce(prev_signature, '') AS prev, signature AS sig FROM p WHERE event_id % 89 <> 0),
+           l AS (SELECT user_id, coalesce(list({{'good': good, 'prev': prev, 'sig': sig, 'n': 0}} ORDER BY event_id) FILTER (readable), []) AS es,
+                        count(*) FILTER (NOT readable) AS parse_errors FROM k GROUP BY user_id),
+           r AS (SELECT user_id, len(es) AS entries, parse_errors, list_reduce(list_prepend({{'good': true, 'prev': '', 'sig': '', 'n': 0}}, es),
+                        lambda a, e: CASE WHEN e.good AND e.prev = a.sig THEN {{'good': true, 'prev': '', 'sig': e.sig, 'n': a.n + 1}} ELSE a END).n::BIGINT AS valid FROM l)
+           SELECT user_id, valid, entries - valid AS invalid, parse_errors FROM r""")
+def ledger_integrity(spark, sf_dir):
+    """ledger_chain_verify's chains, with each 83rd entry unreadable; an entry links to the last valid one, not to the one before."""
+    payload = lambda kind: F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), kind, F.coalesce("props", F.lit("")))
+    log = _t(spark, sf_dir, "events").withColumn("signature", ledger.hmac_sha256(payload(F.col("event_type")), KEY))
+    log = log.withColumn("prev_signature", F.lag("signature").over(Window.partitionBy("user_id").orderBy("event_id")))
+    log = log.withColumn("kind", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("event_type"))).where("event_id % 89 <> 0")
+    return ledger.integrity(log, "user_id", "event_id", payload(F.col("kind")), KEY, F.col("event_id") % 83 != 0)
+
+
 _CHECKS = (("contains", "the"), ("absent", "password"), ("starts", "a"), ("ends", "."), ("lines", "2"))
 _GRADES_SQL = """g AS (SELECT conv_id, turn, kind, value, CASE kind WHEN 'contains' THEN contains(t, value) WHEN 'absent' THEN NOT contains(t, value)
           WHEN 'starts' THEN starts_with(t, value) WHEN 'ends' THEN ends_with(t, value) ELSE len(string_split(t, chr(10))) >= 2 END AS passed

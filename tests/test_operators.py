@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,36 @@ def test_hmac_and_chain(spark):
     assert [(r["good_signature"], r["good_link"]) for r in out.orderBy("i").collect()] == [(True, True), (True, True), (False, True), (True, False)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_integrity_follows_the_last_valid_entry(spark, seed):
+    rng = random.Random(seed)
+    sign = lambda m: hmac.new(b"k", m.encode(), hashlib.sha256).hexdigest()
+    log, want = [], {}
+    for u in ("u", "v", "w", None):
+        entries, before = [], None
+        for i in range(30):
+            entries.append((f"p{i}", sign(f"p{i}"), before))
+            before = sign(f"p{i}")
+        if u != "w":
+            del entries[rng.randrange(10, 30)]
+            at = rng.randrange(25)
+            entries.insert(at, ("inserted", "bad", entries[at][2]))
+        if u == "v":
+            entries[5] = ("forged", *entries[5][1:])
+        n, last = [0, 0, 0], ""
+        for i, (p, sig, prev) in enumerate(entries):
+            read = u == "w" or rng.random() > 0.03
+            log.append((u, i, p, sig, prev, read))
+            ok = sign(p) == sig and (prev or "") == last
+            n[2 if not read else 0 if ok else 1] += 1
+            last = sig if read and ok else last
+        want[u] = tuple(n)
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "u string, i long, p string, signature string, prev_signature string, readable boolean").repartition(3)
+    out = ledger.integrity(df, "u", "i", F.col("p"), b"k", F.col("readable")).collect()
+    assert len(out) == 4 and {r["u"]: (r["valid"], r["invalid"], r["parse_errors"]) for r in out} == want and want["w"] == (30, 0, 0)
+
+
 def test_statistics(spark):
     one = spark.createDataFrame([(None, 1.0, 0.0)], "a double, b double, z double")
     get = lambda c: one.select(c).first()[0]
