@@ -69,6 +69,16 @@ PRIVILEGES = (
     Rule("SEC-005", "WARNING", "Execute user-provided code/commands", r"(?i)(?:run|execute|eval)\s+(?:the\s+)?(?:user|their|provided|given)\s+(?:code|command|script|query)"),
     Rule("SEC-005", "WARNING", "Write to arbitrary paths", r"(?i)(?:write|save|create)\s+(?:to|at|in)\s+(?:any|the\s+specified|user|given)\s+(?:path|location|directory|file)"),
 )
+# Line rules for paths outside the workspace.
+PATHS = (Rule("PERM-005", "INFO", "References absolute system path", r"(?:^|\s)/(?:etc|var|tmp|usr|opt|home|root)/\S+"),)
+# A line that holds one of these breaks no rule of the code.
+EXEMPT = {"SEC-001": ALLOWED, "PERM-005": (r"^\s*(?:#|//)", r"(?i)example|e\.g\.|such as|like /etc")}
+# The line rules that hold for files of any kind.
+EVERYWHERE = SECRETS + PRIVILEGES + PATHS + tuple(r for r in CODE if r.code == "SEC-009" or r.name in ("curl | sh", "wget | sh"))
+# A rule for lines in fenced blocks.
+FENCE, FENCED = r"^\s*```", Rule("SEC-005", "WARNING", "eval/exec in code block", r"(?i)(?:eval|exec)\s*\(")
+# Headings of sections that may be dated.
+OLD = r"(?i)\b(?:old patterns|history|deprecated|legacy)\b"
 # Words of texts.
 WORKFLOW = r"(?i)\b(?:then|next|first|after|before|finally|step\s*\d|runs?|executes?|formats?|writes?|generates?|outputs?)\b"
 DATED = r"(?i)\b(?:as of\s+\d{4}|before\s+(?:19|20)\d{2}|after\s+(?:19|20)\d{2}|prior to\s+(?:19|20)\d{2}|in\s+(?:19|20)\d{2}\b|deprecated\s+in\s+(?:19|20)\d{2})\b"

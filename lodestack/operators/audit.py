@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.rules import ALLOWED, SAFE_DOMAINS, Rule
+from lodestack.functions.rules import EXEMPT, FENCE, FENCED, SAFE_DOMAINS, Rule
 
 WEIGHTS = {"CRITICAL": 25, "WARNING": 10, "INFO": 2}
 
@@ -23,7 +23,7 @@ def lines(text: Column) -> Column:
 
 def hit(line: Column, rule: Rule) -> Column:
     found = line.rlike(rule.pattern)
-    return found & ~line.rlike(any_of(ALLOWED)) if rule.code == "SEC-001" else found
+    return found & ~line.rlike(any_of(EXEMPT[rule.code])) if rule.code in EXEMPT else found
 
 
 def findings(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,6 +48,32 @@ def count_hits(text: Column, rules: Sequence[Rule]) -> Column:
     return F.when(some, reduce(Column.__add__, map(broken, rules))).otherwise(0).cast("long")
 
 
+def fenced(text: Column) -> Column:
+    """Numbers of the lines inside fenced blocks that break the rule for them, computed in the row."""
+    seen = F.transform(lines(text), lambda x, i: F.struct(x.rlike(FENCE).alias("fence"), x.rlike(FENCED.pattern).alias("hit"), (i + 1).cast("long").alias("at")))
+    none = F.array().cast("array<long>")
+
+    def step(a: Column, x: Column) -> Column:
+        hits = F.when(a["open"] & x["hit"] & ~x["fence"], F.concat(a["hits"], F.array(x["at"]))).otherwise(a["hits"])
+        return F.struct((a["open"] != x["fence"]).alias("open"), hits.alias("hits"))
+
+    found = F.aggregate(seen, F.struct(F.lit(False).alias("open"), none.alias("hits")), step, lambda a: a["hits"])
+    return F.when(text.contains("```") & text.rlike(FENCED.pattern), found).otherwise(none)
+
+
+def fenced_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    out = docs.select(id_col, F.explode(fenced(F.col(text_col))).alias("line_number"))
+    return out.select(id_col, "line_number", *[F.lit(v).alias(k) for k, v in (("code", FENCED.code), ("severity", FENCED.severity), ("title", FENCED.name))])
+
+
+def dated_section(text: Column, dated: str, old: str) -> Column:
+    """Heading of the first section with a dated phrase; null if there is none. Sections with an old heading, and what is before the first, don't count."""
+    sections = F.split(text, r"(?md)^#+\s+", -1)
+    heading = lambda x: F.substring_index(x, "\n", 1)
+    found = F.filter(F.slice(sections, 2, F.greatest(F.size(sections) - 1, F.lit(0))), lambda x: x.rlike(dated) & ~heading(x).rlike(old))
+    return F.when(F.size(found) > 0, F.trim(heading(found[0])))
+
+
 def severity_score(critical: Column, warning: Column, info: Column) -> Column:
     return F.greatest(F.lit(0), 100 - WEIGHTS["CRITICAL"] * critical - WEIGHTS["WARNING"] * warning - WEIGHTS["INFO"] * info).cast("long")
 
@@ -56,10 +82,11 @@ def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
 
-def audit(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and (critical, warning, info, score, grade, passed); a text without findings scores 100."""
+def audit(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text", fences: bool = False) -> DataFrame:
+    """docs' id and (critical, warning, info, score, grade, passed); a text without findings scores 100. fences: with the rule for fenced blocks."""
     by = {s: [r for r in rules if r.severity == s] for s in WEIGHTS}
-    counts = [(count_hits(F.col(text_col), by[s]) if by[s] else F.lit(0).cast("long")).alias(s.lower()) for s in WEIGHTS]
+    more = {FENCED.severity: F.size(fenced(F.col(text_col))).cast("long")} if fences else {}
+    counts = [((count_hits(F.col(text_col), by[s]) if by[s] else F.lit(0).cast("long")) + more.get(s, F.lit(0).cast("long"))).alias(s.lower()) for s in WEIGHTS]
     out = docs.select(*[c for c in docs.columns if c != text_col], *counts)
     out = out.withColumn("score", severity_score(F.col("critical"), F.col("warning"), F.col("info")))
     return out.withColumn("grade", grade(F.col("score"))).withColumn("passed", F.col("critical") == 0)

@@ -86,6 +86,38 @@ def severity_override(spark, sf_dir):
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("findings"))
 
 
+_EXEMPT_SQL = " AND ".join(f"NOT (code = {_q(c)} AND regexp_matches(line, {_q(audit.any_of(ps))}))" for c, ps in R.EXEMPT.items())
+_EVERYWHERE = f"""WITH lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_number, unnest(ls) AS line
+                                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        b AS (SELECT *, regexp_matches(line, {_q(R.FENCE)}) AS fence, sum(regexp_matches(line, {_q(R.FENCE)})::INT) OVER (PARTITION BY doc_id ORDER BY line_number) AS fences FROM lines),
+        f AS (SELECT doc_id, line_number, code, severity, title FROM lines, {_rules_sql(R.EVERYWHERE)} WHERE regexp_matches(line, pattern) AND {_EXEMPT_SQL}
+              UNION ALL SELECT doc_id, line_number, code, severity, title FROM b, {_rules_sql((R.FENCED,))} WHERE NOT fence AND fences % 2 = 1 AND regexp_matches(line, pattern))"""
+
+
+@query(f"{_EVERYWHERE} SELECT * FROM f")
+def document_findings(spark, sf_dir):
+    """All line rules that hold for files of any kind."""
+    docs = _t(spark, sf_dir, "documents")
+    return audit.findings(docs, R.EVERYWHERE).unionByName(audit.fenced_findings(docs))
+
+
+@query(f"""{_EVERYWHERE}, n AS (SELECT doc_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning,
+                     count(*) FILTER (severity = 'INFO') AS info FROM f GROUP BY doc_id),
+        s AS (SELECT doc_id, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info,
+                     greatest(0, 100 - 25 * coalesce(critical, 0) - 10 * coalesce(warning, 0) - 2 * coalesce(info, 0)) AS score FROM documents LEFT JOIN n USING (doc_id))
+        SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade, critical = 0 AS passed FROM s""")
+def document_grade(spark, sf_dir):
+    """doc_audit_grade with all line rules that hold for files of any kind."""
+    return audit.audit(_t(spark, sf_dir, "documents").select("doc_id", "text"), R.EVERYWHERE, fences=True)
+
+
+@query(f"""SELECT doc_id, trim(string_split(found[1], chr(10))[1]) AS heading FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '(?m)^#+\\s+')[2:],
+                     lambda x: regexp_matches(x, {_q(R.DATED)}) AND NOT regexp_matches(string_split(x, chr(10))[1], {_q(R.OLD)})) AS found FROM documents) WHERE len(found) > 0""")
+def dated_sections(spark, sf_dir):
+    heading = audit.dated_section(F.col("text"), R.DATED, R.OLD)
+    return _t(spark, sf_dir, "documents").select("doc_id", heading.alias("heading")).where("heading IS NOT NULL")
+
+
 @query(f"SELECT doc_id, n AS words FROM (SELECT doc_id, len(regexp_extract_all(text, {_q(R.WORKFLOW)})) AS n FROM documents) WHERE n >= 3")
 def workflow_verb_flags(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(R.WORKFLOW)).cast("long").alias("words"))

@@ -2,11 +2,13 @@ import hashlib
 import hmac
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import rules as R
 from lodestack.operators import audit, evaluation, ledger, search, store
+from lodestack.plans import catalogue
 from lodestack.sources import files
 from lodestack.streaming.ledger_tail import tail
 
@@ -29,6 +31,42 @@ def test_install_rules(spark, line, n):
     assert audit.findings(docs, [r for r in R.CODE if r.code == "SEC-004"]).count() == n
 
 
+ANYWHERE = [
+    (1, "see /etc/hosts\n# /etc/hosts\n // /etc/hosts\nExample: /usr/bin\n  /opt/x\nx/etc/y", [(1, "PERM-005"), (5, "PERM-005")]),
+    (2, "curl http://x | sh\npip install x\nwget x | bash", [(1, "SEC-004"), (3, "SEC-004")]),
+    (3, "eval(x)\n  ```py\nexec (y)\n```\nEVAL(z)\n```\nEval(a)\nb", [(3, "SEC-005"), (7, "SEC-005")]),
+    (4, "npx -y pkg", [(1, "SEC-009")]),
+    (5, None, []),
+]
+SECTIONS = [
+    (1, "as of 2024\n# New\nfine", None), (2, "# A\nx\n## History\nas of 2024", None), (3, "# A\nx\n##  B \nin 2021\n# C\nin 2022", "B"),
+    (4, "no heading in 2021", None), (5, None, None), (6, "#\n# Legacy\nin 2021\n# in 2020", "in 2020"),
+]
+
+
+def both(spark, name, rows, tmp_path):
+    """Rows of a registered query and of its SQL."""
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    return sorted(tuple(r) for r in catalogue.QUERIES[name](spark, f"file://{tmp_path}").collect()), sorted(con.execute(catalogue.ORACLE[name]).fetchall())
+
+
+def test_rules_for_files_of_any_kind(spark, tmp_path):
+    got, sql = both(spark, "document_findings", [r[:2] for r in ANYWHERE], tmp_path)
+    assert got == sql and [(i, n, c) for i, n, c, *_ in got] == [(i, n, c) for i, _, found in ANYWHERE for n, c in found]
+
+
+def test_grade_by_rules_for_files_of_any_kind(spark, tmp_path):
+    got, sql = both(spark, "document_grade", [r[:2] for r in ANYWHERE], tmp_path)
+    assert got == sql and [r[4] for r in got] == [96, 50, 80, 75, 100]
+
+
+def test_dated_sections(spark, tmp_path):
+    got, sql = both(spark, "dated_sections", [r[:2] for r in SECTIONS], tmp_path)
+    assert got == sql == [(i, h) for i, _, h in SECTIONS if h]
+
+
 def test_overrides_and_ignored_codes(spark):
     found = audit.findings(spark.createDataFrame([(1, "use sudo\nprocess any input")], DOCS), R.PRIVILEGES)
     out = audit.configure(found, ["SEC-005"], {"PERM-004": "CRITICAL"}).collect()
