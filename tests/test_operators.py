@@ -95,6 +95,20 @@ def test_versions(spark):
     assert [r[0] for r in b.select(store.bump(F.col("v"), F.col("l"))).collect()] == ["2.0.0", "1.10.0", "1.9.4", None]
 
 
+def test_fingerprint_holds_no_group(spark):
+    rows = [("big", f"p{i}", f"{i % 3}") for i in range(3000)] + [("big", "same", "d")] * 200 + [("b", "ü", "1"), ("b", "z", "2"), ("b", None, "3"), ("c", "x", None), (None, "y", "4")]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "g string, p string, d string").repartition(5)
+    out = store.fingerprint(df, "g", F.col("p"), F.col("d"), chunk=100)
+    want = {}
+    for g in {r[0] for r in rows}:
+        kept = sorted((p.encode(), d) for h, p, d in rows if h == g and p is not None and d is not None)
+        want[g] = (sum(r[0] == g for r in rows), hashlib.sha256(b"".join(p + b":" + d.encode() for p, d in kept)).hexdigest())
+    got = out.collect()
+    assert len(got) == 4 and {r["g"]: (r["files"], r["fingerprint"]) for r in got} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert store.fingerprint(df.limit(0), "g", F.col("p"), F.col("d")).count() == 0
+
+
 def test_null_safe_regressions(spark):
     s = "code string, line long"
     a, b = spark.createDataFrame([("A", None), ("B", 1), ("B", 1)], s), spark.createDataFrame([("A", None), ("C", None)], s)
