@@ -96,6 +96,17 @@ def test_held_out_labels_are_never_used(spark):
     assert np.array_equal(a.weights, b.weights) and a.slope == b.slope
 
 
+def test_long_documents_are_learned_from(spark):
+    rows, labels = corpus(300)
+    good = {i for i, q, _ in labels if q == 1}
+    rows = [(i, "\n".join((t.split("\n") * 500)[:500]) if i in good else t, x) for i, t, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    field = line_crf.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert field is not None
+    out = {r["doc_id"]: r["score"] for r in line_crf.score(docs, field).collect()}
+    assert np.mean([out[i] for i in good]) > np.mean([s for i, s in out.items() if i not in good])
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
