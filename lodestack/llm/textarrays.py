@@ -4,6 +4,7 @@ Words are cut on bytes: all separators are ASCII, so UTF-8 needs no decoding.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_BYTES = bytes(LOWER)
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLES = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_BLOCK = 1 << 18
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes kept of the last eight of a word that has fewer left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -34,20 +34,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        n = max(n, _BLOCK + 4096)
-        base = _BASES[seed]
-        out = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(n, np.uint64(b))
-            a[0] = 1
-            out.append(np.cumprod(a, dtype=np.uint64))
-        have = _powers[seed] = (out[0], out[1])
-    return have
-
-
 class Batch:
     """Words of a few documents. first[d]:first[d+1] are document d's words; start and end are byte positions in buf."""
 
@@ -76,19 +62,24 @@ class Batch:
         return np.repeat(np.arange(len(self.first) - 1), self.n)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """64-bit hash of every word, computed from prefix sums in blocks of bounded size."""
-        out = np.empty(len(self.start), np.uint64)
-        i, table = 0, _TABLES[seed]
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + _BLOCK)))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            power, inverse = _power(hi - lo + 1, seed)
-            prefix = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[self.buf[lo:hi]] * power[: hi - lo], out=prefix[1:])
-            s = self.start[i:j] - lo
-            out[i:j] = (prefix[self.end[i:j] - lo] - prefix[s]) * inverse[s]
-            i = j
-        return mix(out, seed)
+        """64-bit hash of every word; the two seeds together give 128 bits.
+
+        Words are read eight bytes at a time, each time through a bijective mixer, so words of one length of at most
+        eight bytes never collide; words of over LONG_WORD bytes are hashed by BLAKE2b.
+        """
+        eights = np.ndarray(len(self.buf) + 1, "<u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,))
+        left = self.end - self.start
+        out = mix(left, 29 + seed)
+        rows = np.flatnonzero(left <= LONG_WORD)
+        at, left = self.start[rows], left[rows]
+        while len(rows):
+            out[rows] = mix(out[rows] ^ (eights[at] & _MASKS[np.minimum(left, 8)]), seed)
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.buf[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * seed : 8 * seed + 8], "little")
+        return out
 
     def words(self, d: int) -> list[bytes]:
         raw = self.buf.tobytes() if not hasattr(self, "_raw") else self._raw
