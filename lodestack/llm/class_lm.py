@@ -217,7 +217,7 @@ def train(
 ) -> ClassModel:
     """Learn from every row of docs. Null texts count as empty ones: one END each."""
     texts = docs.select(text_col)
-    buckets = bucket_count(texts)
+    buckets = bucket_count(texts, text_col)
 
     def words(b: Batch) -> tuple[np.ndarray, np.ndarray]:
         h, ending, _, _ = _tokens(b)
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: ClassModel, ws: Workspace, id_col: str = "doc_
     Repeated rows and null ids are scored like any others. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    buckets = bucket_count(source)
+    buckets = bucket_count(source, "_text")
     m = model
     unit_words, classes, transitions, sums, head, counts = m.unit_words, m.classes, m.transitions, m.words, m.head, m.head_counts
     end_row = m.vocabulary.where("ending = -1").agg(F.sum("n")).first()[0] or 0

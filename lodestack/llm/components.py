@@ -1,4 +1,4 @@
-"""Connected components of a distributed link table."""
+"""Connected components of distributed links."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -32,4 +32,21 @@ def connected_components(links: DataFrame, ws: Workspace) -> DataFrame:
         previous, labels = labels, step.select("id", "component")
         ws.drop(previous)
         if not changed:
+            ws.drop(both)
             return labels
+
+
+def merge_components(labels: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """labels (id, component) after adding links (a, b) between its ids.
+
+    Links are first mapped to the components of their ends, and those inside one are dropped: what is left
+    to connect shrinks from call to call, and labels stand for a star of each component.
+    """
+    end = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
+    between = links.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("_a <> _b")
+    between = ws.save(between.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "contracted")
+    if between.limit(1).count() == 0:
+        return labels
+    joined = connected_components(between, ws).select(F.col("id").alias("_old"), F.col("component").alias("_new"))
+    out = labels.join(joined, F.col("component") == F.col("_old"), "left").select("id", F.coalesce("_new", "component").alias("component"))
+    return ws.save(out, "components")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset and all tasks run in this machine, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -50,11 +52,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bucket_count(df: DataFrame, per_bucket: int = 4 << 20) -> int:
-    """Buckets for an exchange, in proportion to the input."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df) // per_bucket)
-    return int(min(n, 1_000_000))
+def buckets_for(spark: SparkSession, total: float, per_bucket: int = 4 << 20) -> int:
+    """Buckets for an exchange of total bytes."""
+    return int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // per_bucket), 1_000_000))
+
+
+def bucket_count(df: DataFrame, text_col: str, per_bucket: int = 4 << 20) -> int:
+    """Buckets for an exchange in proportion to the bytes of df; where the optimizer can't tell those, its texts are measured."""
+    size = estimated_bytes(df)
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return buckets_for(df.sparkSession, size, per_bucket)
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, row_id: str) -> DataFrame:

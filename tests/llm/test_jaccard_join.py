@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lodestack.llm import jaccard_join
-from lodestack.llm.jaccard_join import bands, choose_schemas, extra, lacking, segment_keys, similarity_classes
+from lodestack.llm.jaccard_join import PROBE, WHOLE, bands, choose_schemas, extra, lacking, segment_keys, similarity_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,36 +50,60 @@ def corpus(seed, groups=12):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "k", "num", "den"), [(1, 3, 90, 100), (2, 5, 8, 10)])
-def test_matches_brute_force(spark, monkeypatch, seed, k, num, den):
-    monkeypatch.setattr(jaccard_join, "PAIR_COST", 1e9 if seed == 2 else 300.0)  # many deletions
+@pytest.mark.parametrize(("seed", "k", "num", "den", "levels", "gather"), [(1, 3, 90, 100, 8, 2), (2, 5, 8, 10, 8, 2), (3, 3, 7, 10, 0, 0)])
+def test_matches_brute_force(spark, monkeypatch, seed, k, num, den, levels, gather):
+    monkeypatch.setattr(jaccard_join, "PAIR_COST", 1e9 if seed == 2 else 20.0)  # many deletions
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "GATHER", gather)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, n long")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity_classes(docs, k, num, den).collect()}
     assert got == brute(rows, k, num, den)
 
 
-def test_every_linked_pair_shares_a_key():
+@pytest.mark.parametrize("levels", [0, 1, 8])
+def test_every_linked_pair_meets(monkeypatch, levels):
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     rng = np.random.default_rng(3)
-    for num, den in ((8, 10), (9, 10)):
-        sizes = bands(num, den, 400)
-        for share in (0.0, 1e12):
-            schemas = choose_schemas(sizes, dict.fromkeys(range(99), share), num, den)
+    linked = 0
+    for num, den in ((8, 10), (9, 10), (1, 2)):
+        sizes = bands(num, den, 800)
+        for cost in (0.0, 20.0, 1e12):
+            monkeypatch.setattr(jaccard_join, "PAIR_COST", cost)
+            schemas = choose_schemas(sizes, num, den)
             for _ in range(300):
-                n = int(rng.integers(1, 300))
+                n = int(rng.choice([1, 2, 3, 5, 8, 10, 12, int(rng.integers(1, 300))]))
                 a = rng.integers(0, 2**63, n, np.uint64)
-                extra = rng.integers(0, 2**63, int(n * den / num) - n + 1, np.uint64)
+                more = rng.integers(0, 2**63, int(n * den / num) - n + 1, np.uint64)
                 cut = int(rng.integers(0, n // 5 + 1))
-                s, t = np.unique(a), np.unique(np.concatenate([a[cut:], extra[: int(rng.integers(0, len(extra) + 1))]]))
+                s, t = np.unique(a), np.unique(np.concatenate([a[cut:], more[: int(rng.integers(0, len(more) + 1))]]))
                 both = len(np.intersect1d(s, t))
-                if den * both < num * (len(s) + len(t) - both):
+                if not len(t) or den * both < num * (len(s) + len(t) - both):
                     continue
-                keys = []
+                linked += 1
+                at = []
                 for x in (s, t):
                     band = next(b for b, (_, hi) in enumerate(sizes) if len(x) <= hi)
                     of = [segment_keys(x, b, *schemas[b]) for b in {band, max(0, band - 1)}]
-                    keys.append(({*np.concatenate([k[w == 1] for k, w in of]).tolist()}, {*np.concatenate([k for k, _ in of]).tolist()}))
-                assert keys[0][0] & keys[1][1] or keys[0][1] & keys[1][0]
+                    often = np.sort(rng.permutation(of[0][0])[: len(of[0][0]) // 2])  # each set has its own view of what is hot
+                    of = [segment_keys(x, b, *schemas[b], (often, np.full(len(often), 99))) for b in {band, max(0, band - 1)}]
+                    at.append({k: f for keys, flags in of for k, f in zip(keys.tolist(), flags.tolist(), strict=True)})
+                assert any(at[0][k] | at[1][k] == WHOLE | PROBE for k in at[0].keys() & at[1].keys())
+    assert linked > 1000
+
+
+def test_no_set_looks_up_an_empty_subset():
+    rng = np.random.default_rng(4)
+    sizes = bands(8, 10, 400)
+    schemas = choose_schemas(sizes, 8, 10)
+    seen = {}
+    for i in range(2000):
+        s = np.unique(rng.integers(0, 2**63, int(rng.integers(40, 60)), np.uint64))
+        band = next(b for b, (_, hi) in enumerate(sizes) if len(s) <= hi)
+        for k in set(segment_keys(s, band, *schemas[band])[0].tolist()):
+            seen.setdefault(k, set()).add(i)
+    assert max(map(len, seen.values())) == 1  # sets that share nothing share no key
 
 
 def test_sketches_differ_in_no_more_places_than_sets_in_elements():
@@ -117,3 +141,40 @@ def test_linked_sets_share_the_necessary_elements(num, den):
         for s in (x, y):
             assert len(sent[0] & sent[1]) >= extra(-(-len(s) * num // den), num, den)
     assert linked > 300
+
+
+def twins(n):
+    """Two different words of equal length whose polynomial hashes modulo 2^64 are equal for every odd base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_sets_of_different_words_are_different(spark):
+    x, y = twins(2048)
+    rows = [(1, x), (2, y), (3, f"one {x} two three"), (4, f"one {y} two three")]
+    got = {r["doc_id"]: r["component_id"] for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_of_one_id_and_null_ids_keep_their_links(spark):
+    base = {c: [f"{c}{i}" for i in range(40)] for c in "AB"}
+    near = lambda c, n: " ".join(base[c][:n] + ["x"] + base[c][n + 1 :])
+    rows = [(7, " ".join(base["A"])), (7, " ".join(base["B"])), (8, near("A", 0)), (9, near("B", 0)), (9, near("B", 0))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10).collect())
+    assert got == [(7, 7), (7, 7), (8, 7), (9, 7), (9, 7)]
+    chain = [f"c{i}" for i in range(60)]
+    step = lambda n: " ".join(chain[n : n + 50])
+    for middle in (4, None):  # 5 and 6 link with it, not with each other
+        rows = [(5, step(0)), (middle, step(4)), (6, step(8)), (None, "alone"), (None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r["doc_id"], r["component_id"]) for r in similarity_classes(docs, 3, 8, 10).collect()]
+        least = middle or 5
+        assert sorted(got, key=str) == sorted([(5, least), (middle, least), (6, least), (None, None), (None, None)], key=str)
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(1, "a b c d e", 1, 2, 3, 4), (2, "a b c d e", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, _id long, component long, sid long")
+    assert [r["component_id"] for r in similarity_classes(docs).collect()] == [1, 1]
