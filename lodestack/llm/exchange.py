@@ -1,8 +1,8 @@
 """Many small (key, value) records shuffled as packed arrays.
 
-A task sorts its records into buckets by key and sends one row of packed bytes for each bucket, after
-dropping what repeats within the batch. So a key that a third of all documents share costs one record
-for each batch, and rows in the shuffle are few.
+A task sorts its records into buckets by key and sends one row of packed bytes for each bucket, so rows in
+the shuffle are few. Callers drop what repeats within a batch, and send a key that many records share once;
+so a hot key costs a record or two for each batch.
 """
 from __future__ import annotations
 
@@ -12,18 +12,28 @@ import numpy as np
 import pyarrow as pa
 
 
-def pack(bucket: np.ndarray, arrays: Sequence[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket int, c0 binary, c1 binary, ...) of records dealt by bucket."""
+def pack(bucket: np.ndarray, arrays: Sequence[np.ndarray], deltas: Sequence[int] = ()) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket int, c0 binary, c1 binary, ...) of records dealt by bucket.
+
+    Columns in deltas are sent as differences within a row, of records sorted by those columns: mostly zeros, which the
+    shuffle's compression removes.
+    """
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort([*[arrays[i] for i in reversed(deltas)], bucket]) if deltas else np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.diff(b)) + 1
     lo = np.concatenate([[0], cut])
     hi = np.concatenate([cut, [len(b)]])
     columns = [pa.array(b[lo].astype(np.int32))]
-    for a in arrays:
-        raw, w = a[order].tobytes(), a.dtype.itemsize
+    for i, a in enumerate(arrays):
+        a = a[order]
+        if i in deltas:
+            step = a.copy()
+            step[1:] -= a[:-1]
+            step[lo] = a[lo]
+            a = step
+        raw, w = a.tobytes(), a.dtype.itemsize
         columns.append(pa.array([raw[x * w : y * w] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
     yield pa.RecordBatch.from_arrays(columns, ["bucket", *[f"c{i}" for i in range(len(arrays))]])
 
@@ -32,9 +42,13 @@ def schema(n: int) -> str:
     return ", ".join(["bucket int", *[f"c{i} binary" for i in range(n)]])
 
 
-def unpack(pdf, *dtypes) -> list[np.ndarray]:
+def unpack(pdf, *dtypes, deltas: Sequence[int] = ()) -> list[np.ndarray]:
     """The arrays of a bucket that applyInPandas has gathered."""
-    return [np.frombuffer(b"".join(pdf[f"c{i}"]), d) for i, d in enumerate(dtypes)]
+    out = []
+    for i, d in enumerate(dtypes):
+        parts = [np.frombuffer(x, d) for x in pdf[f"c{i}"]]
+        out.append(np.concatenate([np.cumsum(x, dtype=d) for x in parts] if i in deltas else parts))
+    return out
 
 
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:

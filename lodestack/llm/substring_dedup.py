@@ -5,10 +5,12 @@ that double from a start length up to `window`; each level looks only at windows
 repeated at the level before, and the search ends when none is left. Below the full length a window is
 represented by its anchor, the part with the smallest hash, which is the same wherever the window stands;
 so a level sends about 2 / (parts + 1) of the positions. Anchors are compared by a 64-bit hash, which may
-only keep too many; full windows by 96 bits of two independent hashes.
+only keep too many; full windows by 96 bits of two hashes that start from independent 64-bit hashes of each word.
 
-Within a batch of documents only the smallest id's records of a key are sent, so a passage that a third
-of all documents share costs a few records a batch. What the later documents repeat is known at once.
+Within a batch of documents only the smallest id's records of a key go to the key's bucket, so a passage that a
+third of all documents share costs a few records a batch there. What the later documents repeat is known at
+once: those places go, without a key, to buckets by document. Records are sorted by document and place and sent
+as differences.
 """
 from __future__ import annotations
 
@@ -28,8 +30,18 @@ from lodestack.llm.workspace import Workspace, bucket_count
 FLUSH = 1_500_000
 
 
-def doubling(start: int, window: int) -> list[int]:
-    """start, twice that, and so on; the last length is window."""
+#: A search starts at a length of at most this, found by halving the window.
+SHORT = 8
+#: Columns of a record that are sent as differences: id, tag, position.
+DELTAS = (2, 3, 4)
+
+
+def doubling(start: int | None, window: int) -> list[int]:
+    """start, twice that, and so on; the last length is window. None: the window halved until it is short."""
+    if start is None:
+        start = window
+        while start > SHORT:
+            start = (start + 1) // 2
     out = [min(start, window)]
     while out[-1] < window:
         out.append(min(2 * out[-1], window))
@@ -95,12 +107,13 @@ def _localised(records: list[np.ndarray], buckets: int) -> tuple[np.ndarray, lis
     later = ident > least
     many = np.bincount(run, weights=later) > 0
     flag = np.where(later, 2, many[run]).astype(np.uint8)
-    return (mix(routed, 3) % np.uint64(buckets)).astype(np.int64), [key, second, ident, tag, pos, flag]
+    bucket = (mix(np.where(later, mix(ident, 5) + tag, routed), 3) % np.uint64(buckets)).astype(np.int64)
+    return bucket, [np.where(later, 0, key).astype(np.uint64), np.where(later, 0, second).astype(np.uint32), ident, tag, pos, flag]
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Runs of repeated positions of each document in a bucket."""
-    key, second, ident, tag, pos, flag = exchange.unpack(pdf, np.uint64, np.uint32, np.int64, np.uint32, np.int32, np.uint8)
+    key, second, ident, tag, pos, flag = exchange.unpack(pdf, np.uint64, np.uint32, np.int64, np.uint32, np.int32, np.uint8, deltas=DELTAS)
     later = flag == 2
     repeated = later.copy()
     ask = np.flatnonzero(~later)
@@ -146,8 +159,8 @@ def dedup_substrings(
         F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(1 << 32)).alias("_tag"),
         F.col(text_col).alias("_text"),
     )
-    buckets = bucket_count(source)
-    lengths = doubling(start or (window + 1) // 2, window)
+    buckets = bucket_count(source, "_text")
+    lengths = doubling(start, window)
     found: DataFrame | None = None
     for n, length in enumerate(lengths):
         before = lengths[n - 1] if n else None
@@ -158,7 +171,9 @@ def dedup_substrings(
             rows = source.select("_id", "_tag", "_text").join(spans, ["_id", "_tag"]).select("_id", "_tag", "_text", "spans")
         answers = _level(rows, length, before, window, buckets)
         if n + 1 < len(lengths):
-            found = ws.save(answers.select("_id", "_tag", "a", "b"), f"repeated-{length}")
+            before_it, found = found, ws.save(answers.select("_id", "_tag", "a", "b"), f"repeated-{length}")
+            if before_it is not None:
+                ws.drop(before_it)
             if found.limit(1).count() == 0:
                 answers = answers.limit(0)
                 break
@@ -209,10 +224,10 @@ def _level(rows: DataFrame, length: int, before: int | None, window: int, bucket
                     held.append(got)
                     size += len(got[0])
                 if size > FLUSH:
-                    yield from exchange.pack(*_localised([np.concatenate(x) for x in zip(*held, strict=True)], buckets))
+                    yield from exchange.pack(*_localised([np.concatenate(x) for x in zip(*held, strict=True)], buckets), DELTAS)
                     held, size = [], 0
             if held:
-                yield from exchange.pack(*_localised([np.concatenate(x) for x in zip(*held, strict=True)], buckets))
+                yield from exchange.pack(*_localised([np.concatenate(x) for x in zip(*held, strict=True)], buckets), DELTAS)
 
     packed = rows.select("_id", "_tag", "_text", "spans").mapInArrow(send, exchange.schema(6))
     return packed.groupBy("bucket").applyInPandas(_answer, "_id long, _tag long, later boolean, a int, b int")
