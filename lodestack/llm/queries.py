@@ -3,14 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import class_lm, decontaminate, exact_dedup, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, warc
 from lodestack.llm.workspace import Workspace
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
+#: File of the public tokenizer that packing uses.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +41,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal texts of documents, deduplicated against a new digest index."""
-    out = exact_dedup.dedup(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    """Equal texts of documents, taken in two batches into a new digest index."""
+    docs = _table(spark, sf_dir, "documents")
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    # the second batch, of smaller ids, meets what the first has indexed
+    index = exact_dedup.DigestIndex(spark)
+    out = exact_dedup.dedup(docs, index, cuts=[] if middle is None else [middle])
+    index.drop()  # the result is read from tables that dedup has written
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -54,7 +60,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token sequences of at most 2048 ids."""
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

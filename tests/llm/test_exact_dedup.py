@@ -29,6 +29,30 @@ def test_second_batch_loses_against_the_index(spark):
     assert index.table().groupBy("digest").count().where("count > 1").count() == 0
 
 
+def test_batches_of_one_call_meet_in_the_index(spark):
+    rows = [(i, f"t{i % 7}" if i % 2 else f"T{i % 5}", 0) for i in range(60)] + [(None, "t1", 0), (None, "alone", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (str(r["doc_id"]), bytes(r["digest"]), r["keep_id"], r["group_size"], r["kept"])
+    once, twice = (sorted(map(key, dedup(docs, DigestIndex(spark), cuts=c).collect()), key=str) for c in ((), (20, 45)))
+    assert once == twice and sum(k[-1] for k in once) == len({normal(t) for _, t, _ in rows})
+
+
+def test_an_index_keeps_its_buckets(spark):
+    index = DigestIndex(spark, buckets=3)
+    dedup(spark.createDataFrame(ROWS, SCHEMA), index).count()
+    again = DigestIndex(spark, index.name, buckets=5)
+    assert again.buckets == 3
+    assert [r["kept"] for r in dedup(spark.createDataFrame([(9, "same text", 0)], SCHEMA), again).collect()] == [False]
+    again.drop()
+    assert not index.exists()
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a", 0), (1, "a", 0), (1, "A", 0), (None, "b", 0), (None, "b", 0)]
+    out = dedup(spark.createDataFrame(rows, SCHEMA), DigestIndex(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in out) == [("1", False), ("1", False), ("1", True), ("None", False), ("None", True)]
+
+
 def test_empty_table_and_null_ids(spark):
     assert dedup(spark.createDataFrame([], SCHEMA), DigestIndex(spark)).count() == 0
     out = dedup(spark.createDataFrame([(None, "a", 1), (3, "a", 1)], SCHEMA), DigestIndex(spark)).collect()
