@@ -1,7 +1,7 @@
 """Sharding by sampled splitters: quantiles of a size-weighted key sample cut the key space into ranges.
 
-Rows are ordered by (hash of the text, id). Size-weighted sampling without replacement (the largest
-log(u)/size, u from a hash of the row, so a retried task draws the same) gives splitters; ranges that
+Rows are ordered by (hash of the text, id). Size-weighted sampling (each row with a chance in proportion to its
+size, by a hash of the row, so a retried task draws the same) gives splitters; ranges that
 turn out over twice their share are subdivided at the ids sampled in them, so a group of copies holding a
 third of all bytes is spread. Range totals (one row a range, of a bounded number) give each range its
 place in the order; inside a range a running sum places each row, and shards are equal cuts of the total.
@@ -34,13 +34,15 @@ def _range_of(key: np.ndarray, ident: np.ndarray, at_key: np.ndarray, at_id: np.
 
 
 def shard(
-    docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, samples: int = 20_000,
+    docs: DataFrame, shards: int = 40, ranges_per_shard: int = 16, rows_per_range: int = 500_000, samples_per_range: int = 32,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot, key) of every row. slot counts from 0 in each shard.
 
     Null text: size 16, crc32 of nothing; null ids come first in the order, rows repeated in full have
-    neighbouring slots. An empty table gives an empty result. samples bounds what the driver holds.
+    neighbouring slots. An empty table gives an empty result. There are ranges_per_shard ranges a shard, or as many as
+leave rows_per_range rows to each; the driver holds about samples_per_range rows a range, which is a row in 15,000
+where rows are many.
     """
     ws = Workspace(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -51,12 +53,14 @@ def shard(
         ),
         "rows",
     )
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(shards * ranges_per_shard, n_rows // rows_per_range)
+    wanted = samples_per_range * parts
     uniform = (F.pmod(F.xxhash64("key", "_id", F.lit("sample")), F.lit(1 << 52)) + 1) / float(1 << 52)
     sample = (
-        rows.select("key", F.coalesce("_id", F.lit(-(1 << 63))).alias("i"), (F.ln(uniform) / F.col("size")).alias("w"))
-        .orderBy(F.desc("w")).limit(samples).select("key", "i").toPandas().sort_values(["key", "i"], ignore_index=True)
+        rows.where(uniform * max(1, total) <= F.col("size") * wanted).select("key", F.coalesce("_id", F.lit(-(1 << 63))).alias("i"))
+        .toPandas().sort_values(["key", "i"], ignore_index=True)
     )
-    parts = shards * ranges_per_shard
     picks = sample.iloc[np.unique(np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1])] if len(sample) else sample
     at_key = np.unique(picks["key"].to_numpy(np.int64))
     low = np.iinfo(np.int64).min
@@ -76,7 +80,6 @@ def shard(
     at_id = np.full(len(at_key), low)
     dealt = ranged(at_key, at_id)
     sums = totals(dealt)
-    total = int(sums["bytes"].sum())
     over = sums.loc[sums["bytes"] * parts > 2 * total, "range"].to_numpy()
     if len(over) and len(sample):
         of = _range_of(sample["key"].to_numpy(np.int64), sample["i"].to_numpy(np.int64), at_key, at_id)
