@@ -6,8 +6,8 @@ line's probability of being good, and their mean, weighted by the lines' lengths
 quality, through a logistic curve fitted on the same sample.
 
 The field is trained on documents whose lines all take the document's label, by gradient ascent on
-the penalised conditional likelihood. The sample is bounded (SAMPLE documents a label, of each the first
-SAMPLE_LINES lines at most, in the order of a hash of the id); scoring reads whole texts of any length. Features are
+the penalised conditional likelihood. The sample is bounded (SAMPLE documents a label, in the order of a hash of
+the id), and of each the whole text is read, as in scoring. Features are
 counts on bytes and words, computed by numpy for a batch of documents at once; the recursions run over all
 lines of a batch as one scan of 2 x 2 matrices, where a document's first line has a matrix of rank one, so
 that nothing passes from one document to the next.
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.textarrays import Batch, batches, mix
 
-#: Labelled documents of each label that the field is fitted on, and the lines that such a document may have.
+#: Labelled documents of each label that the field is fitted on.
 SAMPLE = 2_000
-SAMPLE_LINES = 400
 STEPS = 150
 PENALTY = 1e-3
 
@@ -231,7 +230,7 @@ def train(
         return None
     order = F.xxhash64("_id", F.lit("sample"))
     chosen = own.where("_y = 0").orderBy(order, "_id").limit(sample).unionByName(own.where("_y = 1").orderBy(order, "_id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring_index(F.coalesce(F.col(text_col), F.lit("")), "\n", SAMPLE_LINES).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_id")  # 2 * sample ids
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
