@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: each stage applies one operator to all that the stage before kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
-Rows are told apart by doc_id (exact dedup: and text). A null doc_id is an id like any other there.
+Rows are told apart by doc_id (exact dedup: and text). A null doc_id is an id like any other there; of rows
+repeated in full one stays.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, exact_dedup, jaccard_join, line_crf, packing
-from lodestack.llm.queries import TOKENIZERS
+from lodestack.llm.queries import TOKENIZER
 from lodestack.llm.workspace import Workspace
 
 #: A document is rejected below this probability of being good.
@@ -26,10 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the largest doc_id of texts that are equal but for the case of A-Z."""
-    found = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark)).where("kept")
-    kept = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
+    index = exact_dedup.DigestIndex(spark)
+    found = Workspace(spark, "pipeline-exact").save(exact_dedup.dedup(docs, index), "found")
+    index.drop()  # it served this table alone
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
     rows = docs.withColumn("__digest", F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256)))
-    return rows.join(kept, (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(docs.columns)
+    rows = rows.join(kept, (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    if found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).count() > kept.count():
+        rows = rows.dropDuplicates(["doc_id", "__digest"])  # rows repeated in full
+    return rows.select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens; one row per piece."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+    return packing.pack(docs, TOKENIZER, capacity=2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
