@@ -55,8 +55,8 @@ FLUSH = 1_500_000
 EXTRA = 10
 #: A schema lets its sets allocate this many times what they need, so that they can do without some segments.
 SLACK = 1.4
-#: Keys that as many sets have are looked up last.
-HOT = 32
+#: Whole subsets that as many sets have are looked up last.
+HOT = 256
 #: Times that the universe is hashed anew for sets that can't allocate enough.
 LEVELS = 8
 #: Rounds in which each set is compared with one partner.
@@ -269,7 +269,7 @@ def _send_partners(key: np.ndarray, sid: np.ndarray, buckets: int) -> Iterator[p
 
 
 def _partners_and_hot(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(hot, id, partner, n). Not hot: of a bucket's keys, the smaller set with which set id shares the most. Hot: a key that n sets have."""
+    """(hot, id, partner, n). Not hot: of a bucket's whole subsets, the smaller set with which set id shares the most. Hot: a key that n sets have."""
     key, sid, count = exchange.unpack(pdf, np.uint64, np.int64, np.int32)
     told = count == 0
     own, mate = sid[told], key[told].view(np.int64)
@@ -427,7 +427,7 @@ def _linked(classes: DataFrame, texts: DataFrame, k: int, num: int, den: int, ws
             yield from emit(*map(np.concatenate, zip(*held, strict=True)))
 
     def to_partner(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return records(rows, lambda key, flags, sid: _send_partners(key, sid, buckets))
+        return records(rows, lambda key, flags, sid: _send_partners(key[flags & WHOLE > 0], sid[flags & WHOLE > 0], buckets))
 
     def to_component(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return records(rows, lambda key, flags, component: _send_components(key, component, flags, buckets))
