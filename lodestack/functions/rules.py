@@ -89,5 +89,9 @@ SAFE_DOMAINS = (
     "pypi.org", "developer.mozilla.org", "mdn.io", "owasp.org", "stackoverflow.com", "wikipedia.org", "example.com", "example.org", "localhost", "127.0.0.1",
 )
 # US dollars for a million input and output tokens.
-PRICES = (("opus", 15.0, 75.0), ("sonnet", 3.0, 15.0), ("haiku", 0.8, 4.0), ("gpt-4o", 2.5, 10.0), ("openai/gpt-4o-mini", 0.15, 0.6))
+PRICES = (
+    ("bedrock/us.anthropic.claude-opus-4-6-v1", 15.0, 75.0), ("bedrock/us.anthropic.claude-sonnet-4-6", 3.0, 15.0), ("bedrock/us.anthropic.claude-3-5-haiku-20241022-v1:0", 0.8, 4.0),
+    ("anthropic/claude-opus-4-6", 15.0, 75.0), ("anthropic/claude-sonnet-4-6", 3.0, 15.0), ("openai/gpt-4o", 2.5, 10.0), ("openai/gpt-4o-mini", 0.15, 0.6),
+    ("claude-opus-4-6", 15.0, 75.0), ("claude-sonnet-4-6", 3.0, 15.0), ("gpt-4o", 2.5, 10.0), ("sonnet", 3.0, 15.0), ("opus", 15.0, 75.0), ("haiku", 0.8, 4.0),
+)
 DEFAULT_MODEL = "sonnet"

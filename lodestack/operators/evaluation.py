@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.rules import DEFAULT_MODEL, PRICES
+from lodestack.functions.scalars import line_count
 
 
 def mean(x: Column) -> Column:
@@ -65,10 +66,39 @@ def assertion(kind: Column, text: Column, value: Column) -> Column:
     low, needle = F.lower(F.coalesce(text, F.lit(""))), F.lower(value)
     return (
         F.when(kind == "contains", low.contains(needle)).when(kind == "absent", ~low.contains(needle)).when(kind == "starts", low.startswith(needle))
-        .when(kind == "ends", low.endswith(needle)).when(kind == "lines", F.size(F.split(low, "\n", -1)) >= F.expr("try_cast(value AS INT)"))
+        .when(kind == "ends", low.endswith(needle)).when(kind == "lines", F.size(F.split(low, "\n", -1)) >= value.try_cast("int"))
     )
 
 
+#: How assertions begin that a text alone can decide.
+STATED = r"^(?:contains |does not contain |starts with |ends with |matches regex |matches pattern |has at least |is valid json|output is valid json)"
+
+
+def stated(text: Column, assertion: Column) -> Column:
+    """An assertion in words on a text: contains, does not contain, starts with, ends with (case does not count), is valid json,
+    has at least N lines, matches regex /.../, or several of these joined by or. Null where it is none of them."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def one(said: Column, raw: Column) -> Column:
+        def needle(start: str) -> Column:
+            quoted = rf"""^{start}\s+["'](.+?)["']$"""
+            return F.when(said.rlike(quoted), F.regexp_extract(said, quoted, 1)).otherwise(F.regexp_extract(said, rf"^{start}\s+(.+)$", 1))
+
+        pattern = F.nullif(F.regexp_extract(raw, r"^matches\s+(?:regex|pattern)\s+/(.+)/$", 1), F.lit(""))
+        least = F.regexp_extract(said, r"^has at least (\d+) lines?$", 1).try_cast("int")
+        return (
+            F.when(said.rlike(r"^contains\s+."), low.contains(needle("contains"))).when(said.rlike(r"^does not contain\s+."), ~low.contains(needle("does not contain")))
+            .when(said.isin("is valid json", "output is valid json"), F.try_parse_json(text).isNotNull()).when(least.isNotNull(), line_count(F.coalesce(text, F.lit(""))) >= least)
+            .when(said.rlike(r"^starts with\s+."), F.ltrim(low).startswith(needle("starts with"))).when(said.rlike(r"^ends with\s+."), F.rtrim(low).endswith(needle("ends with")))
+            .when(pattern.isNotNull(), F.regexp_like(text, pattern))
+        )
+
+    said = F.lower(F.trim(assertion))
+    parts = F.split(said, r"\s+or\s+", -1)
+    several = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(STATED))
+    return F.when(several, F.coalesce(F.exists(parts, lambda p: F.coalesce(one(p, p), F.lit(False))), F.lit(False))).otherwise(one(said, F.trim(assertion)))
+
+
 def permitted(permissions: Column, action: str, namespace: Column) -> Column:
     """admin grants all; write grants read; a star grants every namespace."""
     grants = [F.lit("admin"), F.concat(F.lit(f"{action}:"), namespace), F.lit(f"{action}:*")]

@@ -1,4 +1,4 @@
-"""Full-text search over a catalogue, ranked by BM25, in two passes with map-side counts."""
+"""Full-text search over a catalogue, ranked by BM25 (the weight of a term that most texts have is held to 1e-6), in two passes with map-side counts."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -26,7 +26,7 @@ def bm25(docs: DataFrame, query: Sequence[str], limit: int, id_col: str = "doc_i
     found = counted.where(" AND ".join(f"_f{i} > 0" for i in range(len(query))) or "false").crossJoin(F.broadcast(stats))  # a single row
     rank = F.lit(0.0)
     for i in range(len(query)):
-        idf = F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)))
         f = F.col(f"_f{i}")
         rank = rank + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_mean")))
-    return found.select(id_col, F.round(rank, 6).alias("rank")).orderBy(F.desc("rank"), id_col).limit(limit)
+    return found.select(id_col, F.round(rank, 10).alias("rank")).orderBy(F.desc("rank"), id_col).limit(limit)

@@ -104,21 +104,29 @@ def consistency(index: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     return i.join(b, key, "left_anti").withColumn("problem", F.lit("dangling")).unionByName(b.join(i, key, "left_anti").withColumn("problem", F.lit("orphan")))
 
 
+VERSION = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+
+
 def semver_key(version: Column) -> Column:
-    """Sortable (major, minor, patch, is release, pre-release) of MAJOR.MINOR.PATCH[-PRE][+BUILD]; null where it is none."""
-    pattern = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
-    part = lambda i: F.regexp_extract(version, pattern, i)
-    return F.when(version.rlike(pattern), F.struct(*[part(i).cast("long").alias(f"v{i}") for i in (1, 2, 3)], (part(4) == "").alias("release"), part(4).alias("pre")))
+    """Sortable key of MAJOR.MINOR.PATCH[-PRE][+BUILD] by semantic precedence; null where it is none.
+
+    Numbers of any length compare by their digits' count, then their digits; in a pre-release they come before words.
+    """
+    number = lambda x: F.struct(F.length(x).alias("n"), x.alias("digits"))
+    part = lambda i: F.regexp_extract(version, VERSION, i)
+    pre = F.transform(F.split(part(4), r"\.", -1), lambda x: F.struct((~x.rlike(r"^\d+$")).alias("word"), F.when(x.rlike(r"^\d+$"), F.length(x)).otherwise(0).alias("n"), x.alias("text")))
+    return F.when(version.rlike(VERSION), F.struct(*[number(part(i)).alias(f"v{i}") for i in (1, 2, 3)], (part(4) == "").alias("release"), pre.alias("pre")))
 
 
 def bump(version: Column, level: Column) -> Column:
-    """The next major, minor or patch version; null for what is no version or level."""
-    k = semver_key(version)
-    joined = lambda a, b, c: F.concat_ws(".", a.cast("string"), b.cast("string"), c.cast("string"))
-    zero = F.lit(0)
+    """The next major, minor or patch version; null for what is no version or level, and for numbers of over 37 digits."""
+    a, b, c = (F.regexp_extract(version, VERSION, i).try_cast("decimal(38,0)") for i in (1, 2, 3))
+    joined = lambda *parts: F.when(F.least(*parts).isNotNull(), F.concat_ws(".", *[p.cast("string") for p in parts]))
+    up = lambda x: F.when(x < F.lit(str(10**37)).cast("decimal(38,0)"), (x + 1).cast("decimal(38,0)"))
+    zero = F.lit(0).cast("decimal(38,0)")
     return (
-        F.when(k.isNull(), None).when(level == "major", joined(k["v1"] + 1, zero, zero)).when(level == "minor", joined(k["v1"], k["v2"] + 1, zero))
-        .when(level == "patch", joined(k["v1"], k["v2"], k["v3"] + 1))
+        F.when(~version.rlike(VERSION), None).when((level == "major") & up(a).isNotNull(), joined(up(a), zero, zero)).when((level == "minor") & up(b).isNotNull(), joined(a, up(b), zero))
+        .when((level == "patch") & up(c).isNotNull(), joined(a, b, up(c)))
     )
 
 

@@ -225,8 +225,8 @@ _TERMS = ("license", "version")
 @query("""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM documents),
           c AS (SELECT doc_id, len([x FOR x IN w IF x <> '']) AS n, len([x FOR x IN w IF x = 'license']) AS f0, len([x FOR x IN w IF x = 'version']) AS f1 FROM w),
           s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
-          SELECT doc_id, round(ln((docs - d0 + 0.5) / (d0 + 0.5) + 1) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean))
-                             + ln((docs - d1 + 0.5) / (d1 + 0.5) + 1) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS rank
+          SELECT doc_id, round(greatest(1e-6, ln((docs - d0 + 0.5) / (d0 + 0.5))) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean))
+                             + greatest(1e-6, ln((docs - d1 + 0.5) / (d1 + 0.5))) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)), 10) AS rank
           FROM c, s WHERE f0 > 0 AND f1 > 0 ORDER BY rank DESC, doc_id LIMIT 20""")
 def catalog_search(spark, sf_dir):
     return search.bm25(_t(spark, sf_dir, "documents"), _TERMS, 20)
@@ -318,6 +318,20 @@ def ledger_integrity(spark, sf_dir):
     return ledger.integrity(log, "user_id", "event_id", payload(F.col("kind")), KEY, F.col("event_id") % 83 != 0)
 
 
+_SAYINGS = (
+    ("contains 'THE'", "contains(t, 'the')"), ("does not contain password", "NOT contains(t, 'password')"), ("Is valid JSON", "json_valid(text)"), ("has at least 2 lines", "contains(trim(text, chr(10)), chr(10))"),
+    ('starts with "A"', "starts_with(ltrim(t), 'a')"), ("ends with .", "ends_with(rtrim(t), '.')"), ("matches regex /[0-9]{3}/", "regexp_matches(text, '[0-9]{3}')"),
+    ("contains zzz or ends with ! or starts with t", "contains(t, 'zzz') OR ends_with(rtrim(t), '!') OR starts_with(ltrim(t), 't')"), ("is it good", "NULL::BOOLEAN"), ("contains x or is it good", "contains(t, 'x or is it good')"),
+)
+
+
+@query(f"""WITH c AS (SELECT *, lower(text) AS t FROM conversations) {' UNION ALL '.join(f"SELECT conv_id, turn, {_q(a)} AS assertion, {b} AS passed FROM c" for a, b in _SAYINGS)}""")
+def stated_assertions(spark, sf_dir):
+    """Assertions in words; null stands for one that only a judge can decide."""
+    said = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.explode(F.array(*[F.lit(a) for a, _ in _SAYINGS])).alias("assertion"))
+    return said.select("conv_id", "turn", "assertion", evaluation.stated(F.col("text"), F.col("assertion")).alias("passed"))
+
+
 _CHECKS = (("contains", "the"), ("absent", "password"), ("starts", "a"), ("ends", "."), ("lines", "2"))
 _GRADES_SQL = """g AS (SELECT conv_id, turn, kind, value, CASE kind WHEN 'contains' THEN contains(t, value) WHEN 'absent' THEN NOT contains(t, value)
           WHEN 'starts' THEN starts_with(t, value) WHEN 'ends' THEN ends_with(t, value) ELSE len(string_split(t, chr(10))) >= 2 END AS passed

@@ -13,25 +13,30 @@ TEXT = (".md", ".txt", ".py", ".sh", ".js", ".ts", ".json", ".yaml", ".yml", ".t
 
 
 def text_files(spark: SparkSession, root: str, largest: int = 1_000_000, suffixes: Sequence[str] = TEXT) -> DataFrame:
-    """(path, length, text, skipped) of every file under root; path is relative to it. Names that begin with . or _ are not listed.
+    """(path, length, text, skipped) of every file under root; path is relative to it.
 
-    skipped says why text is null: "folder" (a skipped folder below root), "type", "size" (over
-    largest) or "encoding" (not UTF-8). Contents of files skipped by path or size are not read.
+    skipped says why text is null: "folder" (a skipped folder below root), "type", "size" (over largest) or "encoding"
+    (not UTF-8). Files are listed without their contents first; contents are read of files with a suffix of text and
+    at most `largest` bytes only. Spark's file sources list no names that begin with . or _, so such files (__init__.py,
+    .env) have no row here: rename or copy them before an audit that must see them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    parts = F.split("path", "/", -1)
+    letters = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    texts = files.option("pathGlobFilter", "*{" + ",".join(map(letters, suffixes)) + "}").load(root).where(F.col("length") <= largest)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     depth = len(root.rstrip("/").split("://")[-1].strip("/").split("/"))
-    tail = F.slice(F.filter(parts, lambda x: (x != F.lit("")) & ~x.endswith(":")), depth + 1, 1 << 20)
-    folders = F.slice(tail, 1, F.greatest(F.size(tail) - 1, F.lit(0)))
-    hidden = F.exists(folders, lambda x: x.isin(list(SKIPPED)))
-    name = F.lower(F.element_at(tail, -1))
-    typed = F.regexp_extract(name, r"(\.[a-z0-9]+)$", 1).isin(list(suffixes))
-    why = F.when(hidden, "folder").when(~typed, "type").when(F.col("length") > largest, "size")
-    out = files.select(F.array_join(tail, "/").alias("path"), "length", why.alias("_why"), "content")
-    bad = F.col("_why").isNull() & ~F.is_valid_utf8(F.col("content").cast("string"))
-    return out.select(
-        "path", "length", F.when(F.col("_why").isNull() & ~bad, F.col("content").cast("string")).alias("text"), F.when(bad, "encoding").otherwise(F.col("_why")).alias("skipped")
-    )
+
+    def described(df: DataFrame) -> DataFrame:
+        tail = F.slice(F.filter(F.split("path", "/", -1), lambda x: (x != F.lit("")) & ~x.endswith(":")), depth + 1, 1 << 20)
+        folders = F.slice(tail, 1, F.greatest(F.size(tail) - 1, F.lit(0)))
+        typed = F.regexp_extract(F.lower(F.element_at(tail, -1)), r"(\.[a-z0-9]+)$", 1).isin(list(suffixes))
+        why = F.when(F.exists(folders, lambda x: x.isin(list(SKIPPED))), "folder").when(~typed, "type").when(F.col("length") > largest, "size")
+        return df.withColumn("_why", why).withColumn("path", F.array_join(tail, "/"))
+
+    read = described(texts).where("_why IS NULL").select("path", "length", F.col("content").cast("string").alias("text"))
+    good = F.is_valid_utf8(F.col("text"))
+    read = read.select("path", "length", F.when(good, F.col("text")).alias("text"), F.when(~good, "encoding").alias("skipped"))
+    return read.unionByName(described(listed).where("_why IS NOT NULL").select("path", "length", F.lit(None).cast("string").alias("text"), F.col("_why").alias("skipped")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
