@@ -67,3 +67,29 @@ def named(text: Column) -> Column:
     """What follows the first `name:` that begins a line; null without."""
     found = F.regexp_extract(text, r"(?m)^\s*name:[ \t]*(.*)$", 1)
     return F.nullif(F.trim(found), F.lit(""))
+
+
+def fenced_answer(text: Column) -> Column:
+    """What a fenced block (plain, markdown or md) holds, or the whole text without one; trimmed of white space."""
+    pattern = r"(?s)```(?:markdown|md)?\s*\n(.*?)```"
+    body = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+    return F.regexp_replace(body, r"^\s+|\s+\z", "")
+
+
+def bracketed(text: Column) -> Column:
+    """From the first [ to the last ], where a JSON array in noisy text may stand; null without."""
+    start, end = F.instr(text, "["), F.length(text) - F.instr(F.reverse(text), "]") + 1
+    return F.when((start > 0) & F.contains(text, F.lit("]")) & (end > start), F.substring(text, start, end - start + 1))
+
+
+def slug(name: Column) -> Column:
+    """The last part of a name as lower-case letters, digits and hyphens."""
+    s = F.regexp_replace(F.lower(F.substring_index(name, "/", -1)), "[^a-z0-9-]", "-")
+    return F.when(s.isin("", "-"), "downloaded-skill").otherwise(s)
+
+
+def section_score(section: Column) -> Column:
+    """The first of normalized, overall and pass_rate of a JSON section; null if it has an error or was skipped."""
+    at = lambda k: F.get_json_object(section, f"$.{k}")
+    void = at("error").isNotNull() | (F.coalesce(at("skipped"), F.lit("false")) == "true")
+    return F.when(~void, F.coalesce(*[at(k).try_cast("double") for k in ("normalized", "overall", "pass_rate")]))

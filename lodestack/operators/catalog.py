@@ -91,3 +91,51 @@ def payload_findings(lines: DataFrame, file: str, number: str, line: str) -> Dat
     hidden = F.when(text.rlike(S.LONG_BASE64) & F.col("_near").rlike(S.EVAL), "CRITICAL")
     framed = lines.withColumn("_near", F.array_join(F.collect_list(line).over(near), "\n"))
     return framed.select(file, number, F.explode(F.array_compact(F.array(*decoded, hidden))).alias("severity"))
+
+
+def log_page(log: DataFrame, at: str, since: str | None = None, until: str | None = None, action: tuple[str, str] | None = None, holds: tuple[str, str] | None = None, order: str = "seq", first: int = 100) -> DataFrame:
+    """The first entries, in file order, whose time (as text) is in a range, with an action and a part of a resource."""
+    for bound, c in ((since, F.col(at) >= since if since else None), (until, F.col(at) <= until if until else None)):
+        log = log.where(c) if bound else log
+    if action:
+        log = log.where(F.col(action[0]) == action[1])
+    if holds:
+        log = log.where(F.contains(F.col(holds[0]), F.lit(holds[1])))
+    return log.orderBy(order).limit(first)
+
+
+def resolved_targets(asked: Column, aliases: dict[str, str], every: Sequence[str]) -> Column:
+    """Targets of an array of names: all stands for every, aliases for their target; sorted, each once."""
+    names = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    one = lambda t: F.when(t == "all", F.array(*map(F.lit, every))).otherwise(F.array(F.coalesce(F.try_element_at(names, t), t)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(asked, one))))
+
+
+def import_status(path: Column, known: Column, has_manifest: Column, has_text: Column) -> Column:
+    """unsafe (an absolute path or one with two dots), error (a file is missing), skipped (the name and version are known) or imported."""
+    return F.when(path.startswith("/") | F.contains(path, F.lit("..")), "unsafe").when(~has_manifest | ~has_text, "error").when(known, "skipped").otherwise("imported")
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with column taken from changes where those have the key; keys of changes are unique."""
+    new = changes.select(F.col(key), F.col(column).alias("_new"), F.lit(True).alias("_changed"))
+    return rows.join(new, key, "left").withColumn(column, F.when(F.col("_changed"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_changed")
+
+
+def annotations(found: DataFrame, by: str) -> DataFrame:
+    """(by, level, message): a line for each finding that is no INFO, and one notice with the number and codes of those left out."""
+    loud = found.where("severity <> 'INFO'").select(by, F.when(F.col("severity") == "CRITICAL", "error").otherwise("warning").alias("level"), F.col("code").alias("message"))
+    n = F.count(F.lit(1))
+    codes = F.array_join(F.array_sort(F.collect_set("code")), ", ")
+    message = F.concat(n.cast("string"), F.when(n == 1, " INFO finding").otherwise(" INFO findings"), F.lit(" suppressed ("), codes, F.lit(")"))
+    quiet = found.where("severity = 'INFO'").groupBy(by).agg(message.alias("message")).select(by, F.lit("notice").alias("level"), "message")
+    return loud.unionByName(quiet)
+
+
+def broken_links(docs: DataFrame, files: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(key, target, problem) of relative Markdown links: broken without such a file, deep over two parts of path."""
+    link = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[[^\]]+\]\(([^)]+)\)"), 1)).alias("_l"))
+    link = link.where(~F.col("_l").rlike("^(?:https?://|mailto:|#)")).select(key, F.regexp_extract("_l", r"^([^#?]*)", 1).alias("target")).where("target <> ''")
+    there = files.select(key, F.col(path).alias("target")).distinct().withColumn("_there", F.lit(True))
+    problem = F.when(F.col("_there").isNull(), "broken").when(F.size(F.split("target", "/", -1)) > 2, "deep")
+    return link.join(there, [key, "target"], "left").select(key, "target", problem.alias("problem")).where("problem IS NOT NULL")

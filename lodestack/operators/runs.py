@@ -56,3 +56,30 @@ def with_verdicts(assertions: DataFrame, verdicts: DataFrame, key: Sequence[str]
     out = assertions.join(verdicts, list(key), "left")
     uncertain = F.coalesce(F.col("confidence"), F.lit(0.0)) < unsure
     return out.select(*assertions.columns, F.coalesce("passed", F.lit(False)).alias("passed"), uncertain.alias("uncertain"))
+
+WEAKNESS = "weaknesses array<struct<category string, description string, severity string, hypothesis string>>"
+
+
+def weaknesses(reply: Column) -> Column:
+    """Weaknesses of a reply's JSON, with defaults for what they lack; one of high severity for a reply that has none or can't be read."""
+    given = F.from_json(reply, WEAKNESS)["weaknesses"]
+    filled = F.transform(given, lambda w: F.struct(
+        F.coalesce(w["category"], F.lit("functional")).alias("category"), F.coalesce(w["severity"], F.lit("medium")).alias("severity"),
+        F.coalesce(w["description"], F.lit("Unknown weakness")).alias("description")))
+    none = F.array(F.struct(F.lit("functional").alias("category"), F.lit("high").alias("severity"), F.lit("Unable to parse structured failure analysis").alias("description")))
+    return F.when(F.size(given) > 0, filled).otherwise(none)
+
+
+def case_errors(item: Column, fields: Sequence[str]) -> Column:
+    """Required fields that an object of an evaluation file (JSON text) lacks; null if it is no object."""
+    thing = F.trim(item).startswith("{") & F.get_json_object(item, "$").isNotNull()
+    keys = F.json_object_keys(item)
+    return F.when(thing, F.array_compact(F.array(*[F.when(~F.array_contains(keys, f), f) for f in fields])))
+
+
+def side_by_side(runs: DataFrame, case: str, side: str, value: str, a: str, b: str) -> DataFrame:
+    """(case, a, b): the mean of each side, and in one row without a case the means of those means, each rounded first."""
+    mean = lambda s: F.round(F.avg(F.when(F.col(side) == s, F.col(value))), 4).alias(s)
+    by = runs.groupBy(case).agg(mean(a), mean(b))
+    total = by.agg(F.round(F.avg(a), 4).alias(a), F.round(F.avg(b), 4).alias(b)).select(F.lit(None).cast(runs.schema[case].dataType).alias(case), a, b)
+    return by.unionByName(total)

@@ -396,3 +396,101 @@ _SCRIPTS = f"SELECT l_orderkey AS file, l_linenumber AS n, {_pick('line', _CODE,
 def payload_findings(spark, sf_dir):
     """Decoding of base64, and long base64 strings near eval or exec: from the line above to the second below."""
     return catalog.payload_findings(_view(spark, sf_dir, _SCRIPTS, "lineitem"), "file", "n", "line")
+
+
+_REPLIES = ["text", "concat('Here: ```markdown', chr(10), ' kept ', chr(10), '``` rest')", "concat('a [1, 2] b [3] c')", "'no list ] ['", "concat('```', chr(10), 'x', chr(10), '```')"]
+_REPLY = f"SELECT doc_id, {_pick('t', _REPLIES)}, {_pick('name', ['concat(source, chr(47), lang)', repr('My Skill!'), repr('/'), repr('a/b/C_d')])}, {_pick('section', [repr('{"normalized": 0.5}'), repr('{"overall": 0.25, "pass_rate": 1}'), repr('{"error": "x", "overall": 1}'), repr('{"skipped": true, "overall": 1}'), 'NULL'])} FROM documents"
+
+
+@query(f"""SELECT doc_id, sha256(CASE doc_id % 5 WHEN 1 THEN 'kept' WHEN 4 THEN 'x' ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END) AS answer, CASE doc_id % 5 WHEN 2 THEN '[1, 2] b [3]' END AS listed,
+           CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'my-skill-' WHEN 2 THEN 'downloaded-skill' ELSE 'c-d' END AS slug, CASE doc_id % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END::DOUBLE AS score
+           FROM ({_REPLY}) JOIN documents USING (doc_id) WHERE doc_id % 5 > 0 OR NOT contains(text, '```') AND NOT contains(text, '[')""")
+def reply_parts(spark, sf_dir):
+    """Answers in fences, lists in noisy text, slugs of names, scores of report sections."""
+    r = _view(spark, sf_dir, _REPLY, "documents").where((F.col("doc_id") % 5 > 0) | ~F.contains(F.col("t"), F.lit("```")) & ~F.contains(F.col("t"), F.lit("[")))
+    t = F.col("t")
+    return r.select("doc_id", F.sha2(scalars.fenced_answer(t), 256).alias("answer"), scalars.bracketed(t).alias("listed"), scalars.slug(F.col("name")).alias("slug"), scalars.section_score(F.col("section")).alias("score"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-03' AND strftime(ts, '%Y-%m-%d') <= '2024-01-25' AND event_type = 'click' AND contains(props, '7') ORDER BY event_id LIMIT 500""")
+def log_first(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd"))
+    return catalog.log_page(e, "at", "2024-01-03", "2024-01-25", ("event_type", "click"), ("props", "7"), "event_id", 500).select("event_id", "user_id")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a,b,c' WHEN 1 THEN 'a,b' WHEN 2 THEN '' ELSE 'a,b,c,z' END AS targets FROM customer""")
+def resolved_targets(spark, sf_dir):
+    asked = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in (["all"], ["b", "first", "b"], [], ["z", "all", "a"])]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.array_join(catalog.resolved_targets(asked, {"first": "a"}, ["c", "b", "a"]), ",").alias("targets"))
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'unsafe' WHEN l_partkey % 7 = 0 OR l_suppkey % 5 = 0 THEN 'error' WHEN l_orderkey % 3 = 0 THEN 'skipped' ELSE 'imported' END AS status FROM lineitem) GROUP BY status""")
+def import_tally(spark, sf_dir):
+    path = F.when(F.col("l_partkey") % 22 == 0, "/etc/x").when(F.col("l_partkey") % 11 == 0, "a/../b").otherwise("skills/a@1/SKILL.md")
+    status = catalog.import_status(path, F.col("l_orderkey") % 3 == 0, F.col("l_partkey") % 7 != 0, F.col("l_suppkey") % 5 != 0)
+    return _t(spark, sf_dir, "lineitem").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 8 = 2 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 9 <> 1""")
+def registry_update(spark, sf_dir):
+    """Values replaced from a table of changes, then keys deleted."""
+    o, k = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderkey")
+    changes = o.where((k % 4 == 0) | (k % 8 == 2)).select(k, F.when(k % 4 == 0, "new").alias("o_orderstatus"))
+    return catalog.updated(o, changes, "o_orderkey", "o_orderstatus").join(o.where(k % 9 == 1).select("o_orderkey"), "o_orderkey", "left_anti")
+
+
+@query(f"""WITH f AS ({_FULL}) SELECT doc_id, CASE severity WHEN 'CRITICAL' THEN 'error' ELSE 'warning' END AS level, code AS message FROM f WHERE severity <> 'INFO' UNION ALL
+           SELECT doc_id, 'notice', count(*) || CASE WHEN count(*) = 1 THEN ' INFO finding' ELSE ' INFO findings' END || ' suppressed (' || string_agg(DISTINCT code, ', ' ORDER BY code) || ')' FROM f WHERE severity = 'INFO' GROUP BY doc_id""")
+def finding_annotations(spark, sf_dir):
+    return catalog.annotations(_all_findings(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH f AS ({_FULL}), n AS (SELECT doc_id, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'WARNING') AS w FROM f GROUP BY doc_id)
+           SELECT doc_id % 25 AS batch, max(CASE WHEN c > 0 THEN 2 WHEN w > 0 THEN 1 ELSE 0 END)::INT AS worst FROM n GROUP BY 1""")
+def worst_exit_codes(spark, sf_dir):
+    """The worst exit code of each batch of strict audits."""
+    n = _all_findings(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("severity") == "CRITICAL").alias("c"), F.count_if(F.col("severity") == "WARNING").alias("w"))
+    return n.groupBy((F.col("doc_id") % 25).alias("batch")).agg(F.max(skills.exit_code(F.col("c"), F.col("w"), strict=True)).alias("worst"))
+
+
+_LINKED = f"SELECT doc_id, {_pick('t', ['concat(chr(91), lang, chr(93), chr(40), repr_a, chr(41), text)', 'concat(text, repr_b)', 'concat(repr_c, repr_d)'])} FROM documents".replace("repr_a", "'a.md#top'").replace("repr_b", "' [x](a/b/c.md) [y](http://e.org/z) [z](#p)'").replace("repr_c", "'[q](a/b.md?v=1) '").replace("repr_d", "'[r](mailto:x) [s](lost.md)'")
+
+
+@query("""SELECT doc_id, 'a.md' AS target, 'broken' AS problem FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'a/b/c.md', CASE WHEN doc_id % 5 = 0 THEN 'broken' ELSE 'deep' END FROM documents WHERE doc_id % 3 = 1
+          UNION ALL SELECT doc_id, 'a/b.md', 'broken' FROM documents WHERE doc_id % 3 = 2 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'lost.md', 'broken' FROM documents WHERE doc_id % 3 = 2""")
+def broken_links(spark, sf_dir):
+    d, k = _view(spark, sf_dir, _LINKED, "documents"), F.col("doc_id")
+    there = F.array_compact(F.array(F.when(k % 2 == 0, "a.md"), F.when(k % 5 != 0, "a/b/c.md"), F.when(k % 7 == 0, "a/b.md")))
+    return catalog.broken_links(d, d.select("doc_id", F.explode(there).alias("path")), "doc_id", "t", "path")
+
+
+_JSON = [repr('{"weaknesses": [{"category": "audit", "severity": "low", "description": "d"}, {"description": "e"}]}'), repr('{"weaknesses": []}'), "'no json'", repr('{"weaknesses": [{}]}')]
+_REPORTS = f"SELECT conv_id, turn, {_pick('reply', _JSON, 'turn')} FROM conversations"
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 4 AS k FROM conversations) SELECT conv_id, turn, 'audit' AS category, 'low' AS severity, 'd' AS description FROM c WHERE k = 0 UNION ALL SELECT conv_id, turn, 'functional', 'medium', 'e' FROM c WHERE k = 0
+          UNION ALL SELECT conv_id, turn, 'functional', 'high', 'Unable to parse structured failure analysis' FROM c WHERE k IN (1, 2) UNION ALL SELECT conv_id, turn, 'functional', 'medium', 'Unknown weakness' FROM c WHERE k = 3""")
+def parsed_weaknesses(spark, sf_dir):
+    return _view(spark, sf_dir, _REPORTS, "conversations").select("conv_id", "turn", F.inline(runs.weaknesses(F.col("reply")))).select("conv_id", "turn", "category", "severity", "description")
+
+
+_ITEMS = f"SELECT conv_id, turn, {_pick('item', [repr('{"id": 1, "prompt": "p"}'), repr('{"id": 1}'), repr('{}'), repr('[1]'), repr('{"prompt": null}')], 'turn')} FROM conversations"
+
+
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'prompt' WHEN 2 THEN 'id,prompt' WHEN 4 THEN 'id' END AS missing FROM conversations""")
+def eval_case_errors(spark, sf_dir):
+    return _view(spark, sf_dir, _ITEMS, "conversations").select("conv_id", "turn", F.array_join(runs.case_errors(F.col("item"), ["id", "prompt"]), ",").alias("missing"))
+
+
+@query("""WITH b AS (SELECT user_id % 30 AS eval_id, round(avg(event_id % 9) FILTER (event_type = 'view'), 4) AS view, round(avg(event_id % 9) FILTER (event_type = 'click'), 4) AS click FROM events GROUP BY 1)
+          SELECT * FROM b UNION ALL SELECT NULL, round(avg(view), 4), round(avg(click), 4) FROM b""")
+def side_by_side(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("eval_id"), "event_type", (F.col("event_id") % 9).alias("v"))
+    return runs.side_by_side(e, "eval_id", "event_type", "v", "view", "click")
+
+
+@query("""SELECT source, arg_max(doc_id, (lang = 'en', n_chars, doc_id)) AS baseline FROM documents GROUP BY source""")
+def baseline_lookup(spark, sf_dir):
+    """The baseline of each source: the latest marked one, else the newest."""
+    newest = F.struct((F.col("lang") == "en").alias("latest"), "n_chars", "doc_id")
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.max(newest)["doc_id"].alias("baseline"))
