@@ -50,6 +50,7 @@ CODE = (
     Rule("SEC-006", "CRITICAL", "pickle.load/loads", r"(?:c?[Pp]ickle)\.(?:load|loads)\s*\("),
     Rule("SEC-006", "CRITICAL", "marshal.loads", r"marshal\.loads?\s*\("),
     Rule("SEC-006", "CRITICAL", "shelve.open", r"shelve\.open\s*\("),
+    Rule("SEC-006", "WARNING", "yaml.load without SafeLoader", r"yaml\.load\s*\("),
     Rule("SEC-007", "WARNING", "importlib.import_module", r"importlib\.import_module\s*\("),
     Rule("SEC-007", "WARNING", "__import__", r"__import__\s*\("),
     Rule("SEC-007", "WARNING", "compile()", r"""(?:^|\W)compile\s*\(\s*['"]"""),
@@ -71,8 +72,23 @@ PRIVILEGES = (
 )
 # Line rules for paths outside the workspace.
 PATHS = (Rule("PERM-005", "INFO", "References absolute system path", r"(?:^|\s)/(?:etc|var|tmp|usr|opt|home|root)/\S+"),)
+#: By rule: lower-case literals of which every match has one; rules that are not named are matched against all texts.
+NEEDED = {
+    "Generic API Key assignment": ("api",), "AWS Access Key": ("akia",), "AWS Secret Key": ("secret",), "GitHub Token (classic)": ("ghp_",), "GitHub Token (fine-grained)": ("github_pat_",),
+    "GitHub OAuth": ("gho_",), "OpenAI API Key": ("t3blbkfj",), "OpenAI API Key (proj)": ("sk-proj-",), "Anthropic API Key": ("sk-ant-",), "Slack Token": ("xox",), "Slack Webhook": ("hooks.slack.com",),
+    "Generic Password": ("passw", "pwd"), "Generic Token": ("token", "bearer"), "Generic Secret": ("secret",), "Database Connection String": ("://",), "Private Key": ("private key",),
+    "Potential Base64 Secret": ("key", "secret", "token", "password", "credential"), "subprocess.run/call/Popen": ("subprocess.",), "os.system": ("os.system",), "os.popen": ("os.popen",), "shell=True": ("shell",),
+    "eval/exec": ("eval", "exec"), "pip install": ("install",), "npm install": ("install",), "curl | sh": ("curl",), "wget | sh": ("wget",), "pickle.load/loads": ("ickle.load",), "marshal.loads": ("marshal.load",),
+    "shelve.open": ("shelve.open",), "yaml.load without SafeLoader": ("yaml.load",), "importlib.import_module": ("importlib",), "__import__": ("__import__",), "compile()": ("compile",), "types.FunctionType": ("types.functiontype",),
+    "types.CodeType": ("types.codetype",), "mcpServers config block": ("mcp",), "npx -y external package": ("npx",), "MCP/SSE endpoint URL": ("/mcp", "/sse"),
+    "References sensitive directory access": (".ssh", ".gnupg", ".aws", ".kube"), "References root/sudo access": ("sudo", "root"), "Starts network listener": ("listen", "bind", "serve"),
+    "Accesses stored credentials": ("credential", "password", "token", "key"), "Unbounded user input handling": ("input", "content", "data", "text"), "Execute user-provided code/commands": ("code", "command", "script", "query"),
+    "Write to arbitrary paths": ("path", "location", "directory", "file"), "References absolute system path": ("/etc/", "/var/", "/tmp/", "/usr/", "/opt/", "/home/", "/root/"),
+}
 # A line that holds one of these breaks no rule of the code.
 EXEMPT = {"SEC-001": ALLOWED, "PERM-005": (r"^\s*(?:#|//)", r"(?i)example|e\.g\.|such as|like /etc")}
+# The same for one rule, by its name.
+EXEMPT_OF = {"yaml.load without SafeLoader": (r"yaml\.safe_load\s*\(", r"Loader\s*=\s*(?:yaml\.)?SafeLoader")}
 # The line rules that hold for files of any kind.
 EVERYWHERE = SECRETS + PRIVILEGES + PATHS + tuple(r for r in CODE if r.code == "SEC-009" or r.name in ("curl | sh", "wget | sh"))
 # A rule for lines in fenced blocks.

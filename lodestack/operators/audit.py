@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.rules import EXEMPT, FENCE, FENCED, SAFE_DOMAINS, Rule
+from lodestack.functions.rules import EXEMPT, EXEMPT_OF, FENCE, FENCED, NEEDED, SAFE_DOMAINS, Rule
 
 WEIGHTS = {"CRITICAL": 25, "WARNING": 10, "INFO": 2}
 
@@ -23,29 +23,35 @@ def lines(text: Column) -> Column:
 
 def hit(line: Column, rule: Rule) -> Column:
     found = line.rlike(rule.pattern)
-    return found & ~line.rlike(any_of(EXEMPT[rule.code])) if rule.code in EXEMPT else found
+    but = EXEMPT_OF.get(rule.name) or EXEMPT.get(rule.code)
+    return found & ~line.rlike(any_of(but)) if but else found
+
+
+def may_hit(low: Column, rule: Rule) -> Column:
+    """Whether a lower-cased text holds one of the literals that every match of the rule has."""
+    return reduce(Column.__or__, [low.contains(x) for x in NEEDED[rule.name]]) if rule.name in NEEDED else F.lit(True)
 
 
 def findings(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, line_number, code, severity, title): one row for each rule that a line breaks.
 
-    Only texts that some rule matches are cut into lines. Null texts have no findings.
+    Only texts and lines with a literal that some rule needs are matched against patterns. Null texts have no findings.
     """
-    some = docs.where(F.col(text_col).rlike("(?m)" + any_of([r.pattern for r in rules])))
-    cut = some.select(id_col, F.posexplode(lines(F.col(text_col))).alias("at", "line"))
-    broken = [F.when(hit(F.col("line"), r), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("title"))) for r in rules]
+    low = docs.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
+    some = low.where(reduce(Column.__or__, [may_hit(F.col("_low"), r) for r in rules]))
+    cut = some.select(id_col, F.posexplode(lines(F.col("_text"))).alias("at", "line")).select(id_col, "at", "line", F.lower("line").alias("_low"))
+    broken = [F.when(may_hit(F.col("_low"), r) & hit(F.col("line"), r), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("title"))) for r in rules]
     out = cut.select(id_col, (F.col("at") + 1).cast("long").alias("line_number"), F.explode(F.array_compact(F.array(*broken))).alias("f"))
     return out.select(id_col, "line_number", "f.code", "f.severity", "f.title")
 
 
-def count_hits(text: Column, rules: Sequence[Rule]) -> Column:
-    """How many (line, rule) pairs break a rule, computed in the row: no explode, no shuffle."""
+def count_hits(cut: Column, low: Column, rules: Sequence[Rule]) -> Column:
+    """How many (line, rule) pairs of an array of lines break a rule; low: the lower-cased text. No explode, no shuffle."""
 
     def broken(rule: Rule) -> Column:
-        return F.size(F.filter(lines(text), lambda x: hit(x, rule)))
+        return F.when(may_hit(low, rule), F.size(F.filter(cut, lambda x: hit(x, rule)))).otherwise(0)
 
-    some = text.rlike("(?m)" + any_of([r.pattern for r in rules]))
-    return F.when(some, reduce(Column.__add__, map(broken, rules))).otherwise(0).cast("long")
+    return F.coalesce(reduce(Column.__add__, map(broken, rules)), F.lit(0)).cast("long")
 
 
 def fenced(text: Column) -> Column:
@@ -86,8 +92,8 @@ def audit(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_c
     """docs' id and (critical, warning, info, score, grade, passed); a text without findings scores 100. fences: with the rule for fenced blocks."""
     by = {s: [r for r in rules if r.severity == s] for s in WEIGHTS}
     more = {FENCED.severity: F.size(fenced(F.col(text_col))).cast("long")} if fences else {}
-    counts = [((count_hits(F.col(text_col), by[s]) if by[s] else F.lit(0).cast("long")) + more.get(s, F.lit(0).cast("long"))).alias(s.lower()) for s in WEIGHTS]
-    out = docs.select(*[c for c in docs.columns if c != text_col], *counts)
+    counts = [((count_hits(F.col("_lines"), F.col("_low"), by[s]) if by[s] else F.lit(0).cast("long")) + more.get(s, F.lit(0).cast("long"))).alias(s.lower()) for s in WEIGHTS]
+    out = docs.withColumn("_lines", lines(F.col(text_col))).withColumn("_low", F.lower(text_col)).select(*[c for c in docs.columns if c != text_col], *counts)
     out = out.withColumn("score", severity_score(F.col("critical"), F.col("warning"), F.col("info")))
     return out.withColumn("grade", grade(F.col("score"))).withColumn("passed", F.col("critical") == 0)
 

@@ -40,7 +40,8 @@ def _findings_sql(rules) -> str:
     return f"""lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_number, unnest(ls) AS line
                         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
         f AS (SELECT doc_id, line_number, code, severity, title FROM lines, {_rules_sql(rules)}
-              WHERE regexp_matches(line, pattern) AND NOT (code = 'SEC-001' AND regexp_matches(line, {_q(audit.any_of(R.ALLOWED))})))"""
+              WHERE regexp_matches(line, pattern) AND NOT (code = 'SEC-001' AND regexp_matches(line, {_q(audit.any_of(R.ALLOWED))}))
+                    AND NOT (title = 'yaml.load without SafeLoader' AND regexp_matches(line, 'yaml\\.safe_load\\s*\\(|Loader\\s*=\\s*(?:yaml\\.)?SafeLoader')))"""
 
 
 ALL_RULES = R.SECRETS + R.PRIVILEGES

@@ -81,3 +81,21 @@ def test_text_files_reads_only_what_it_lists(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"]: (r["text"], r["skipped"]) for r in files.text_files(spark, f"file://{tmp_path}", largest=20).collect()}
     assert got == {"a.md": ("x", None), "b.PY": ("y", None), "c.bin": (None, "type"), "big.txt": (None, "size"), "bad.md": (None, "encoding"), "dist/d.md": (None, "folder")}
+
+
+def test_literals_leave_out_no_finding(spark):
+    from lodestack.functions import rules as R
+    from lodestack.operators import audit
+
+    said = {
+        "Generic API Key assignment": "API-KEY = 'abcdefghij0123456789'", "AWS Secret Key": "Secret_Key: '" + "a" * 40 + "'", "OpenAI API Key": "sk-" + "a" * 20 + "T3BlbkFJ" + "b" * 20, "Generic Password": "PWD='longenough'",
+        "Generic Token": "Bearer: '" + "q" * 20 + "'", "Private Key": "-----BEGIN RSA PRIVATE KEY-----", "yaml.load without SafeLoader": "yaml.load(f)", "types.FunctionType": "types.FunctionType(c)",
+        "References sensitive directory access": "read ~/.SSH", "Starts network listener": "Bind on port", "Accesses stored credentials": "use the TOKEN from", "Execute user-provided code/commands": "Run the user QUERY",
+        "Write to arbitrary paths": "save to any Path", "Unbounded user input handling": "accept ALL Data", "References absolute system path": "see /etc/passwd", "pickle.load/loads": "cPickle.loads(x)", "MCP/SSE endpoint URL": "http://h/SSE",
+    }
+    rules = R.SECRETS + R.CODE + R.PRIVILEGES + R.PATHS
+    docs = spark.createDataFrame([(i, f"\n{t}\n") for i, t in enumerate(said.values())] + [(90, "yaml.load(f, Loader=SafeLoader)"), (91, None), (92, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["title"]) for r in audit.findings(docs, rules).collect()}
+    assert {(i, n) for i, n in enumerate(said)} <= got and not any(d >= 90 for d, _ in got)
+    counts = {r["doc_id"]: r["critical"] + r["warning"] + r["info"] for r in audit.audit(docs, rules).collect()}
+    assert all(counts[i] == sum(d == i for d, _ in got) for i in range(len(said))) and counts[90] == counts[91] == counts[92] == 0
