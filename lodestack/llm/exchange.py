@@ -43,11 +43,13 @@ def schema(n: int) -> str:
 
 
 def unpack(pdf, *dtypes, deltas: Sequence[int] = ()) -> list[np.ndarray]:
-    """The arrays of a bucket that applyInPandas has gathered."""
+    """The arrays of a bucket that applyInPandas has gathered; a bucket without rows gives empty ones."""
     out = []
     for i, d in enumerate(dtypes):
-        parts = [np.frombuffer(x, d) for x in pdf[f"c{i}"]]
-        out.append(np.concatenate([np.cumsum(x, dtype=d) for x in parts] if i in deltas else parts))
+        if i in deltas:
+            out.append(np.concatenate([np.zeros(0, d), *[np.cumsum(np.frombuffer(x, d), dtype=d) for x in pdf[f"c{i}"]]]))
+        else:
+            out.append(np.frombuffer(b"".join(pdf[f"c{i}"]), d))
     return out
 
 
