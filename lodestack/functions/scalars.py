@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What ends a line, beside carriage return and line feed together.
-_BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def _replaced(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -36,8 +36,8 @@ def escape_html(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines as Python's splitlines counts them: an end of line at the end begins no line."""
-    ends = F.regexp_count(text, F.lit(rf"\r\n|{_BREAKS}"))
-    return (ends + F.when((text == "") | text.rlike(rf"{_BREAKS}\z"), 0).otherwise(1)).cast("long")
+    ends = F.regexp_count(text, F.lit(rf"\r\n|{BREAKS}"))
+    return (ends + F.when((text == "") | text.rlike(rf"{BREAKS}\z"), 0).otherwise(1)).cast("long")
 
 
 def bar(share: Column, block: str = "█") -> Column:

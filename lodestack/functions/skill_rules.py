@@ -20,6 +20,9 @@ TEMPLATE_MARKERS = (
     "insert instructions below", "todo: write the skill", "<your skill goes here>", "describe what this skill does", "your-skill-name", "skill name (replace this)",
 )
 TOOL_ENTRY = r"^(?:[A-Z][\w-]*(?:\([^)]+\))?|mcp__[a-z0-9_-]+__[a-z0-9_-]+)$"
+# A table of contents, and the lines from which a reference needs one.
+CONTENTS = r"(?im)(?:table of contents|^#+\s*(?:contents|toc)\b)"
+LONG_REFERENCE, HEAD_LINES = 100, 50
 # Numbers in code.
 ASSIGNED_NUMBER = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*[-+]?(\d+)(?:\.\d+)?\s*(?:#(.*))?$"
 _WORDS = "MAX|MIN|DEFAULT|LIMIT|TIMEOUT|SIZE|LENGTH|COUNT|THRESHOLD|MAGIC|VERSION|RETRIES|DEPTH|PORT|EXIT"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import skill_rules as S
+from lodestack.functions.scalars import BREAKS
 
 
 def push(index: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -139,3 +140,23 @@ def broken_links(docs: DataFrame, files: DataFrame, key: str, text: str, path: s
     there = files.select(key, F.col(path).alias("target")).distinct().withColumn("_there", F.lit(True))
     problem = F.when(F.col("_there").isNull(), "broken").when(F.size(F.split("target", "/", -1)) > 2, "deep")
     return link.join(there, [key, "target"], "left").select(key, "target", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def file_findings(files: DataFrame, keep: Sequence[str], path: Column, text: Column, referenced: Column) -> DataFrame:
+    """(keep, code) of files beside a skill's own: a readme (STR-016), scripts without a first line that names an interpreter (STR-017),
+    and long referenced Markdown files without a table of contents in their first lines (QLT-008). A null text breaks no rule of content."""
+    script = path.startswith("scripts/") & path.rlike(r"\.(?:py|sh)$")
+    head = F.array_join(F.slice(F.split(text, rf"\r\n|{BREAKS}", S.HEAD_LINES + 1), 1, S.HEAD_LINES), "\n")
+    long = path.rlike(r"(?i)\.md$") & (F.regexp_count(text, F.lit("\n")) > S.LONG_REFERENCE)
+    checks = [("STR-016", path == "README.md"), ("STR-017", script & ~text.startswith("#!")), ("QLT-008", referenced & long & ~head.rlike(S.CONTENTS))]
+    return files.select(*keep, F.explode(F.array_compact(F.array(*[F.when(c, code) for code, c in checks]))).alias("code"))
+
+
+def nearest_config(folders: DataFrame, configs: DataFrame, key: str, folder: str, levels: int = 20) -> DataFrame:
+    """folders with config: that of the nearest folder on the way up, itself included, at most `levels` folders; null without.
+    Paths are parts between slashes; configs (folder, config) has a row a folder. A folder gives a row for each of its own parents only."""
+    parts = F.split(folder, "/", -1)
+    up = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(levels)) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - i), "/").alias("_at"), i.alias("_up")))
+    each = folders.select(key, F.inline(up))
+    found = each.join(configs.select(F.col(folder).alias("_at"), "config"), "_at").groupBy(key).agg(F.min_by("config", "_up").alias("config"))
+    return folders.join(found, key, "left")

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators import evaluation as E
+
 EVENT = (
     "type string, message struct<content array<struct<type string, name string, text string>>, usage struct<input_tokens long, output_tokens long>>, "
     "content_block struct<type string, name string>, usage struct<input_tokens long, output_tokens long>"
@@ -57,6 +59,7 @@ def with_verdicts(assertions: DataFrame, verdicts: DataFrame, key: Sequence[str]
     uncertain = F.coalesce(F.col("confidence"), F.lit(0.0)) < unsure
     return out.select(*assertions.columns, F.coalesce("passed", F.lit(False)).alias("passed"), uncertain.alias("uncertain"))
 
+
 WEAKNESS = "weaknesses array<struct<category string, description string, severity string, hypothesis string>>"
 
 
@@ -83,3 +86,39 @@ def side_by_side(runs: DataFrame, case: str, side: str, value: str, a: str, b: s
     by = runs.groupBy(case).agg(mean(a), mean(b))
     total = by.agg(F.round(F.avg(a), 4).alias(a), F.round(F.avg(b), 4).alias(b)).select(F.lit(None).cast(runs.schema[case].dataType).alias(case), a, b)
     return by.unionByName(total)
+
+
+def compare_summary(runs: DataFrame, case: str, side: str, a: str, b: str, rate: str, tokens: str, assertions: str) -> DataFrame:
+    """One row that compares two sides: means of each case's rounded means, the sum of its mean passed assertions, tokens for each, and the winner.
+
+    Tokens per assertion are null for a side that passes none; a case without runs of a side counts 0 there."""
+    own = lambda s, x: F.avg(F.when(F.col(side) == s, F.col(x)))
+    by = runs.groupBy(case).agg(*[
+        F.round(F.coalesce(own(s, x), F.lit(0.0)), places).alias(f"{n}_{x_}") for n, s in (("a", a), ("b", b)) for x_, x, places in (("rate", rate, 4), ("tokens", tokens, 1), ("passed", assertions, 1))])
+    total = by.agg(*[f.alias(c) for n in "ab" for f, c in (
+        (E.mean(F.col(f"{n}_rate")), f"{n}_rate"), (E.mean(F.col(f"{n}_tokens")), f"{n}_tokens"), (F.coalesce(F.sum(f"{n}_passed"), F.lit(0.0)), f"{n}_passed"))])
+    each = lambda n: F.when(F.col(f"{n}_passed") > 0, F.col(f"{n}_tokens") / F.col(f"{n}_passed"))
+    ratio = F.when(F.col("a_tokens") > 0, F.col("b_tokens") / F.col("a_tokens")).otherwise(0.0)
+    return total.select(
+        *[F.round(x, places).alias(c) for n in "ab" for x, places, c in (
+            (F.col(f"{n}_rate"), 4, f"{n}_rate"), (F.col(f"{n}_tokens"), 1, f"{n}_tokens"), (F.col(f"{n}_passed"), 1, f"{n}_passed"), (each(n), 1, f"{n}_tokens_each"))],
+        F.round(ratio, 4).alias("token_ratio"), E.winner(each("a"), each("b"), "a", "b").alias("winner"))
+
+
+def benchmark_summary(runs: DataFrame, skill: str, arm: Column, rate: str, tokens: str, tools: str) -> DataFrame:
+    """Of each skill: means and deviations of runs with and without it (arm: true, false), the four scores and their mean, and whether it passed.
+
+    A skill without runs of an arm has efficiency 0.5; without runs of the second, process 1."""
+    of = lambda want, x: F.when(arm == want, F.col(x))
+    by = runs.groupBy(skill).agg(*[f.alias(f"{c}_{n}") for n, want in (("with", True), ("without", False)) for f, c in (
+        (F.count(of(want, rate)), "n"), (E.mean(of(want, rate)), "p"), (E.spread(of(want, rate)), "s"), (E.mean(of(want, tokens)), "t"), (E.mean(of(want, tools)), "c"))])
+    process = F.when(F.col("n_without") > 0, process_score(F.col("c_with"), F.col("c_without"))).otherwise(1.0)
+    paid = F.when((F.col("n_with") > 0) & (F.col("n_without") > 0), E.efficiency(*map(F.col, ("p_with", "t_with", "p_without", "t_without")))).otherwise(0.5)
+    cost = (F.col("t_with") - F.col("t_without")) / F.nullif(F.col("t_without"), F.lit(0.0)) * 100
+    delta = F.col("p_with") - F.col("p_without")
+    return by.select(
+        skill, F.round("p_with", 4).alias("rate_with"), F.round("s_with", 4).alias("deviation_with"), F.round("p_without", 4).alias("rate_without"), F.round("s_without", 4).alias("deviation_without"),
+        F.round(delta, 4).alias("rate_delta"), F.round(F.col("t_with") - F.col("t_without"), 1).alias("tokens_delta"), F.round(F.col("c_with") - F.col("c_without"), 1).alias("tools_delta"),
+        F.round("p_with", 4).alias("outcome"), F.round(process, 4).alias("process"), F.round("p_with", 4).alias("style"), F.round(paid, 4).alias("efficiency"),
+        F.round((F.col("p_with") * 2 + process + paid) / 4, 4).alias("overall"), F.when(F.col("t_without") > 0, E.trade_off(delta, cost)).alias("trade"),
+        ((delta >= 0) & (F.col("p_with") >= 0.5)).alias("passed"))
