@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import rules as R
 from lodestack.functions import skill_rules as S
-from lodestack.operators import catalog, runs, search
-from lodestack.plans.catalogue import _q, _t, query
+from lodestack.functions import texts
+from lodestack.operators import audit, catalog, runs, search
+from lodestack.plans.catalogue import _findings_sql, _q, _t, query
 from lodestack.plans.skills import _pick, _view
 
 
@@ -83,3 +85,20 @@ def nearest_configs(spark, sf_dir):
     name = lambda s: F.concat(F.lit("/b/"), F.col("k").cast("string"), F.lit(s)).alias("folder")
     configs = brands.select(name(""), F.lit("brand").alias("config")).union(brands.where("k % 2 = 0").select(name("/s"), F.lit("deep"))).union(spark.createDataFrame([("", "root")], "folder string, config string"))
     return catalog.nearest_config(folders, configs, "p_partkey", "folder").select("p_partkey", "config")
+
+
+_PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789().=_-"
+
+
+@query(f"""WITH {_findings_sql(R.SECRETS + R.CODE).replace("FROM documents)", "FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'eval(x)' WHEN 1 THEN 'pickle.loads(x)' ELSE text END AS text FROM documents))")} SELECT * FROM f""")
+def folded_findings(spark, sf_dir):
+    """Rules on texts after compatibility folding; letters, digits and some marks of the texts are full-width before it."""
+    said = F.when(F.col("doc_id") % 3 == 0, "eval(x)").when(F.col("doc_id") % 3 == 1, "pickle.loads(x)").otherwise(F.col("text"))
+    wide = F.translate(said, _PLAIN, "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN))
+    return audit.findings(_t(spark, sf_dir, "documents").select("doc_id", texts.compatibility_folded(wide).alias("text")), R.SECRETS + R.CODE)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE concat('--- old', chr(10), '+++ new', chr(10), '@@ -1,2 +1,2 @@', chr(10), ' x', chr(10), '-', lang, '+', source) END AS diff FROM documents""")
+def text_diffs(spark, sf_dir):
+    old, new = F.concat(F.lit("x\n"), "lang"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\n"), "lang")).otherwise(F.concat(F.lit("x\n"), "source"))
+    return _t(spark, sf_dir, "documents").select("doc_id", texts.unified_diff(old, new).alias("diff"))

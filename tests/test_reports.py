@@ -1,7 +1,10 @@
+import difflib
 import math
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import texts
 from lodestack.operators import catalog, runs, search
 
 
@@ -56,3 +59,12 @@ def test_the_nearest_config_is_within_the_levels(spark):
     configs = spark.createDataFrame([("/a/b", "p"), ("", "root"), ("/a/b/c/d", "q")], "folder string, config string")
     assert dict(catalog.nearest_config(rows, configs, "id", "folder").select("id", "config").collect()) == {1: "p", 2: "p", 3: "root", 4: "root", 5: "root", 6: None, 7: "root"}
     assert dict(catalog.nearest_config(rows, configs, "id", "folder", levels=1).select("id", "config").collect()) == {1: None, 2: "p", 3: None, 4: None, 5: "root", 6: None, 7: None}
+
+
+def test_texts_are_folded_and_compared(spark):
+    said = ["\uff45\uff56\uff41\uff4c(x)", "\U0001d41e\U0001d42f\U0001d41a\U0001d425", "\u0435val", "eval", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("t", texts.compatibility_folded("t").alias("f")).collect()
+    assert [r["f"] for r in rows] == [t and unicodedata.normalize("NFKC", t) if t else t for t in said]
+    pairs = [("a\nb\nc\n", "a\nx\nc\n"), ("a", "a"), (None, "a\n"), ("a\n", None), (None, None), ("", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", texts.unified_diff("a", "b").alias("d")).collect()
+    assert all(r["d"] == "".join(difflib.unified_diff((r["a"] or "").splitlines(True), (r["b"] or "").splitlines(True), "old", "new")) for r in got)
