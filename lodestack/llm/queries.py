@@ -7,11 +7,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import class_lm, decontaminate, exact_dedup, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, warc
+from lodestack.llm import class_lm, decontaminate, exact_dedup, filter_audit, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, token_counts, warc
 from lodestack.llm.workspace import Workspace
 
 #: File of the public tokenizer that packing uses.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: File of the public tokenizer whose tokens are counted, and the tokens that a context holds.
+COUNTED, CONTEXT = public_tokenizers.path("byte_bpe_50k.json"), 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +96,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by language and in each of their orders."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents by a byte-level BPE vocabulary."""
+    out = token_counts.count_tokens(_table(spark, sf_dir, "documents"), COUNTED)
+    return out.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -105,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_line_crf": op9_line_crf,
     "op10_license_scan": op10_license_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,4 +138,37 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS intact
         FROM g""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE orders AS (
+            SELECT '' AS filter_order, 0 AS n
+            UNION ALL
+            SELECT filter_order || f, n + 1 FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE n < 5 AND NOT contains(filter_order, f)),
+        steps AS (
+            SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+            FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step) WHERE n = 5),
+        d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        m AS (
+            SELECT part, concat(
+                CASE WHEN len(w) < 100 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS mask,
+                coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        r AS (
+            SELECT part, filter_order, step, f, n, good, toxic, contains(mask, f) AS fails, mask = f AS alone,
+                   translate(mask, before, '') = mask AS met
+            FROM c, steps),
+        a AS (
+            SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (met AND NOT fails), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (met AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND NOT met), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (met AND fails), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (met AND fails), 0)::BIGINT AS toxic_lost
+            FROM r GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM a""",
 }
