@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import class_lm, decontaminate, exact_dedup, filter_audit, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, token_counts, warc
+from lodestack.llm import class_lm, decontaminate, exact_dedup, filter_audit, jaccard_join, license_scan, line_crf, packing, sharding, substring_dedup, token_counts, turn_repair, warc
 from lodestack.llm.workspace import Workspace
 
 #: File of the public tokenizer that packing uses.
@@ -107,6 +107,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of each damaged conversation."""
+    return turn_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -120,10 +125,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_counts": op12_token_counts,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _repair_sql() -> str:
+    """Turn by turn: the cheapest (cost, audit, lines) in each state of the automaton, with what is inserted next."""
+
+    def edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {state}.t || {line}) END"
+
+    def when(test: str, value: str) -> str:
+        return f"CASE WHEN {test} THEN {value} END"
+
+    def keep(state: str, initial: str) -> str:
+        return when(f"NOT bad AND starts_with(role, '{initial}')", edit(state, "cut", "K", "chr(10) || role || ':' || text"))
+
+    def rerole(state: str, role: str) -> str:
+        return when("NOT bad", edit(state, "2 + cut", "R", f"chr(10) || '{role}:' || text"))
+
+    user, both = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    drop = [edit(f"s{i}", "3", "D") for i in range(4)]
+    n2 = ", ".join([drop[2], *[f(s, r) for s in ("s0", "s1", "s3") for f, r in ((keep, "u"), (rerole, "user"))]])
+    return f"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        h AS (
+            SELECT *, xor(4294967295, list_reduce(
+                list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT),
+                lambda c, b: list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)),
+                4294967295)) % 20 AS h FROM k),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                   CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM h, (VALUES (1), (2)) v(copy) WHERE h <> 0 AND (copy = 1 OR h = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+        f AS (
+            SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                   regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS open,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+        g AS (SELECT *, blank OR again AS bad, (NOT blank AND NOT again AND open)::BIGINT AS cut FROM f),
+        walk AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '', t := '') AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1,
+                   struct_pack(c := 2::BIGINT, a := 'I', t := {user}) AS s2, struct_pack(c := 4::BIGINT, a := 'II', t := {both}) AS s3 FROM conversations
+            UNION ALL
+            SELECT conv_id, i, n0, n1, least(n2, {edit("n0", "2", "I", user)}, {edit("n1", "2", "I", user)}, {edit("n3", "2", "I", user)}),
+                   least(n3, {edit("n2", "2", "I", "chr(10) || 'assistant:'")}, {edit("n0", "4", "II", both)}, {edit("n1", "4", "II", both)})
+            FROM (
+                SELECT g.conv_id, g.i, {drop[0]} AS n0, least({drop[1]}, {keep("s0", "s")}) AS n1, least({n2}) AS n2,
+                       least({drop[3]}, {keep("s2", "a")}, {rerole("s2", "assistant")}) AS n3
+                FROM walk JOIN g ON g.conv_id IS NOT DISTINCT FROM walk.conv_id AND g.i = walk.i + 1)),
+        best AS (SELECT conv_id, arg_max(least(s0, s3), i) AS s, max(i) AS n FROM walk GROUP BY conv_id),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                   count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut)::BIGINT AS truncated, count(*) FILTER (illegal) AS illegal FROM g GROUP BY conv_id)
+        SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, CASE WHEN n = 0 THEN 0 ELSE s.c END AS cost, CASE WHEN n = 0 THEN '' ELSE s.a END AS audit,
+               sha256(CASE WHEN n = 0 THEN '' ELSE substr(s.t, 2) END) AS repaired_sha256
+        FROM best LEFT JOIN counts ON best.conv_id IS NOT DISTINCT FROM counts.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_AZ} AS t FROM documents)
@@ -171,4 +236,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
         FROM a""",
+    "op13_turn_repair": _repair_sql(),
 }
