@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ _KIND[48:58] = DIGIT
 _KIND[SPACES] = SPACE
 _KIND[28:32] = ODD  # separators that some libraries count as white space
 _KIND[39] = ODD  # an apostrophe may begin a contraction
-#: Counts of pre-tokens that are kept between batches; bounds a worker's memory.
-CACHE = 500_000
+#: Counts of pre-tokens that are kept between batches, and bytes of text that are cut at a time; both bound a worker's memory.
+CACHE, PIECE = 200_000, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,6 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def load(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
@@ -164,6 +166,12 @@ class TokenCounter:
         return total[parts.first[1:]] - total[parts.first[:-1]]
 
 
+@functools.cache
+def counter(path: str) -> TokenCounter:
+    """One for all tasks that a worker runs."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens) of every row; one pass, nothing is shuffled.
 
@@ -173,10 +181,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path)
+        own = counter(path)
         for batch in batches:
             buf, bounds = utf8(batch.column(1))
-            n = [counter.counts(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds)]
+            n = [own.counts(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds, PIECE)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(bounds)), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["_id", "n_bytes", "n_tokens"]
             )
