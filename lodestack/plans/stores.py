@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import manifests, transfer
 from lodestack.operators.index import SearchIndex
+from lodestack.plans import reports  # noqa: F401  registers the searches whose SQL holds here too
 from lodestack.plans.catalogue import ORACLE, _t, query
+from lodestack.sources import archives
 from lodestack.sources.tables import new_folder
 
 
@@ -48,3 +51,78 @@ def index_after_removal(spark, sf_dir):
     index.remove(docs.where("source IN ('src1', 'src2')"))
     index.add(docs.where("source = 'src2'"))
     return index.page("the", limit=100, created="n_chars").withColumnRenamed("id", "doc_id")
+
+
+#: Manifests and front matter of parts: name, brand, size and price are a table's own values.
+_YAML = """concat('apiVersion: example.io/v1', chr(10), 'kind: Skill', chr(10), 'metadata:', chr(10), '  name: org/part-', p_partkey, chr(10), '  version: 1.', p_size, '.0', chr(10),
+    '  description: "', p_name, ': ', p_brand, '"', chr(10), '  tags:', chr(10), '  - ', p_brand, chr(10), '  - ', p_type, ' # type', chr(10), 'spec:', chr(10), '  content:', chr(10),
+    '    inline: |', chr(10), '      # ', p_name, chr(10), '      ', p_brand, chr(10), '  parameters:', chr(10), '    - name: price', chr(10), '      type: number', chr(10), '      default: ', p_retailprice, chr(10))"""
+_HEAD = """concat('---', chr(10), 'name: part-', p_partkey, chr(10), 'description: >-', chr(10), '  ', p_name, chr(10), '  of ', p_brand, chr(10), 'about:', chr(10), '  namespace: org', chr(10), '  version: 2.', p_size, '.1', chr(10), '  tags: [', p_type, ', "', p_brand, '"]', chr(10), '---', chr(10), chr(10), p_name, chr(10))"""
+
+
+def _part_files(spark, sf_dir):
+    parts, economy = _t(spark, sf_dir, "part"), F.col("p_type") == "ECONOMY"
+    return parts.select(
+        F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("folder"), F.when(economy, "SKILL.md").otherwise("skill.yaml").alias("name"), F.when(economy, F.expr(_HEAD)).otherwise(F.expr(_YAML)).alias("text")
+    )
+
+
+@query("""SELECT 'parts/' || p_partkey AS folder, CASE WHEN p_type = 'ECONOMY' THEN 'markdown' ELSE 'yaml' END AS source, 'org/part-' || p_partkey AS name,
+                 CASE WHEN p_type = 'ECONOMY' THEN '2.' || p_size || '.1' ELSE '1.' || p_size || '.0' END AS version,
+                 CASE WHEN p_type = 'ECONOMY' THEN p_name || ' of ' || p_brand ELSE p_name || ': ' || p_brand END AS description,
+                 CASE WHEN p_type = 'ECONOMY' THEN p_type || ',' || p_brand ELSE p_brand || ',' || p_type END AS tags,
+                 CASE WHEN p_type <> 'ECONOMY' THEN p_retailprice::VARCHAR END AS price,
+                 CASE WHEN p_type = 'ECONOMY' THEN p_name ELSE '# ' || p_name || chr(10) || p_brand || chr(10) END AS content, NULL::VARCHAR AS error FROM part""")
+def manifest_rows(spark, sf_dir):
+    """Manifests and front matter read as columns."""
+    m = manifests.load(_part_files(spark, sf_dir), "example.io/v1", "about")
+    return m.select("folder", "source", "name", "version", "description", F.array_join("tags", ",").alias("tags"), F.get("params", F.lit(0))["default"].alias("price"), "content", "error")
+
+
+@query(r"""WITH f AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+          SELECT doc_id::VARCHAR AS folder, 'STR-004' AS code, 'no front matter' AS reason FROM f WHERE regexp_replace(ls[1], '^\s+|\s+$', '', 'g') <> '---' UNION ALL
+          SELECT 'c' || c_custkey, 'STR-001', 'no folder' FROM customer UNION ALL SELECT 's' || s_suppkey, 'STR-002', 'no SKILL.md' FROM supplier UNION ALL
+          SELECT 'p' || p_partkey, 'STR-004', CASE WHEN p_size < 20 THEN 'no YAML' WHEN p_size < 30 THEN 'not closed' ELSE 'no mapping' END FROM part WHERE p_size < 40""")
+def skill_loading(spark, sf_dir):
+    """Skills that can't be audited: documents as SKILL.md, customers without a folder, suppliers without the file, parts with bad front matter."""
+    d, c, s, p = (_t(spark, sf_dir, t) for t in ("documents", "customer", "supplier", "part"))
+    key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string")).alias("folder")
+    head = F.when(F.col("p_size") < 20, F.expr("concat('---', chr(10), 'a: ', p_name, ': ', p_brand, chr(10), '---')")).when(F.col("p_size") < 30, F.expr("concat('---', chr(10), 'a: ', p_name)"))
+    head = head.when(F.col("p_size") < 40, F.expr("concat('---', chr(10), '- ', p_name, chr(10), '---', chr(10))")).otherwise(F.expr("concat('---', chr(10), 'a: ', p_name, chr(10), '---', chr(10))"))
+    files = d.select(key("", "doc_id"), F.lit("SKILL.md").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    files = files.unionByName(s.select(key("s", "s_suppkey"), F.lit("notes.md").alias("name"), F.col("s_name").alias("text"))).unionByName(p.select(key("p", "p_partkey"), F.lit("SKILL.md").alias("name"), head.alias("text")))
+    return manifests.loading_errors(files.select("folder").unionByName(c.select(key("c", "c_custkey"))), files)
+
+
+def _part_entries(spark, sf_dir):
+    text = F.concat_ws("\n", "p_name", "p_brand")
+    return _t(spark, sf_dir, "part").select(
+        "p_size", "p_type", F.expr("concat('org/part-', p_partkey)").alias("name"), F.expr("concat('1.', p_size, '.0')").alias("version"), F.sha2(text, 256).alias("hash"), text.alias("content"), F.expr(_YAML).alias("manifest")
+    )
+
+
+def _exported(spark, entries):
+    """Archives of both kinds: zip files of one type of part, tar files of the others."""
+    path = new_folder(spark, "archives")
+    zipped = F.col("p_type") == "ECONOMY"
+    archives.export_archives(entries.where(zipped), path, "zip")
+    archives.export_archives(entries.where(~zipped), path, "tar.gz")
+    return path
+
+
+@query("""SELECT 'org/part-' || p_partkey AS name, '1.' || p_size || '.0' AS version, 'imported' AS status, sha256(p_name || chr(10) || p_brand) AS hash FROM part""")
+def archive_round_trip(spark, sf_dir):
+    """Entries exported to archives and imported into an empty catalogue."""
+    none = spark.createDataFrame([], "name string, version string")
+    out = transfer.import_path(spark, _exported(spark, _part_entries(spark, sf_dir)), none, "example.io/v1", "about")
+    return out.select("name", "version", "status", F.sha2("content", 256).alias("hash"))
+
+
+@query("""SELECT CASE WHEN p_size > 45 THEN 'error' WHEN p_brand = 'Brand#2' THEN 'skipped' ELSE 'imported' END AS status,
+                 CASE WHEN p_size > 45 THEN 'SKILL.md not found in archive' END AS error, count(*) AS n FROM part GROUP BY ALL""")
+def archive_import(spark, sf_dir):
+    """The tally of an import: entries without content are errors, those of a brand are known."""
+    entries = _part_entries(spark, sf_dir)
+    path = _exported(spark, entries.withColumn("content", F.when(F.col("p_size") <= 45, F.col("content"))))
+    known = _t(spark, sf_dir, "part").where("p_brand = 'Brand#2'").select(F.expr("concat('org/part-', p_partkey)").alias("name"), F.expr("concat('1.', p_size, '.0')").alias("version"))
+    return transfer.import_path(spark, path, known, "example.io/v1", "about").groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
