@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators import manifests, transfer
+from lodestack.operators import manifests, syntax, transfer
 from lodestack.operators.index import SearchIndex
 from lodestack.plans import reports  # noqa: F401  registers the searches whose SQL holds here too
 from lodestack.plans.catalogue import ORACLE, _t, query
@@ -126,3 +126,18 @@ def archive_import(spark, sf_dir):
     path = _exported(spark, entries.withColumn("content", F.when(F.col("p_size") <= 45, F.col("content"))))
     known = _t(spark, sf_dir, "part").where("p_brand = 'Brand#2'").select(F.expr("concat('org/part-', p_partkey)").alias("name"), F.expr("concat('1.', p_size, '.0')").alias("version"))
     return transfer.import_path(spark, path, known, "example.io/v1", "about").groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A script of each part: names, brands and prices are the table's own.
+_SCRIPT = """concat('from pickle import loads as ', replace(p_name, ' ', '_'), chr(10), 'import subprocess as run_', p_partkey, chr(10), replace(p_name, ' ', '_'), '(x)', chr(10),
+    'run_', p_partkey, '.call("', p_brand, '", shell=', CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END, ')', chr(10), 'import yaml', chr(10), 'yaml.load(x', CASE WHEN p_retailprice > 1000 THEN ', Loader=y' ELSE '' END, ')', chr(10),
+    CASE WHEN p_type = 'ECONOMY' THEN 'print(eval("1"))' ELSE 'print(obj.eval("1"))' END, chr(10), 'import base64', chr(10), 'base64.b64decode("', p_name, '" + ', CASE WHEN p_brand = 'Brand#2' THEN 'x' ELSE '"="' END, ')', chr(10))"""
+
+
+@query("""SELECT p_partkey, u.* FROM part, (VALUES (3, 'SEC-006-AST', 'Unsafe deserialization: pickle.loads'), (4, 'SEC-003-AST', 'Subprocess with shell=True'), (6, 'SEC-006-AST', 'Unsafe deserialization: yaml.load without Loader='),
+          (7, 'SEC-007-AST', 'Dangerous builtin: eval()'), (9, 'SEC-008-AST', 'Base64 decode of literal-concatenation')) u(line_number, code, title)
+          WHERE CASE line_number WHEN 3 THEN true WHEN 4 THEN p_size > 25 WHEN 6 THEN NOT p_retailprice > 1000 WHEN 7 THEN p_type = 'ECONOMY' ELSE p_brand <> 'Brand#2' END""")
+def strict_syntax(spark, sf_dir):
+    """Strict rules on scripts made of parts: aliased imports, keyword arguments, sums of literals."""
+    files = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_SCRIPT).alias("script"))
+    return syntax.strict_findings(files, "p_partkey", "script").select(F.col("path").alias("p_partkey"), "line_number", "code", "title")
