@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators import manifests, syntax, transfer
+from lodestack.operators import history, manifests, syntax, transfer
+from lodestack.operators.changelog import ChangeLog
 from lodestack.operators.index import SearchIndex
 from lodestack.plans import reports  # noqa: F401  registers the searches whose SQL holds here too
 from lodestack.plans.catalogue import ORACLE, _t, query
 from lodestack.sources import archives
-from lodestack.sources.tables import new_folder
+from lodestack.sources.tables import Bucketed, new_folder
 
 
 def _index(spark, sf_dir):
@@ -141,3 +142,65 @@ def strict_syntax(spark, sf_dir):
     """Strict rules on scripts made of parts: aliased imports, keyword arguments, sums of literals."""
     files = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_SCRIPT).alias("script"))
     return syntax.strict_findings(files, "p_partkey", "script").select(F.col("path").alias("p_partkey"), "line_number", "code", "title")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW')
+          SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM o WHERE o_orderstatus <> 'F'
+          UNION ALL SELECT o_orderkey, 'back', o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""")
+def change_log(spark, sf_dir):
+    """A store of orders after puts, an update, a compaction, deletes and puts of what was deleted."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    log = ChangeLog(spark, new_folder(spark, "change-log"), "o_orderkey bigint, o_orderstatus string, o_totalprice double", "o_orderkey", buckets=8)
+    log.put(o)
+    log.update(o.where("o_totalprice > 300000 AND o_orderstatus <> 'F'").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderstatus"])
+    log.compact()
+    log.delete(o.where("o_orderpriority = '5-LOW' OR o_orderstatus = 'F'"))
+    log.put(o.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("back")))
+    return log.read()
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR row_number() OVER (PARTITION BY o_orderkey ORDER BY copy) > 1 THEN 'E_ALREADY_EXISTS' ELSE 'added' END AS status
+          FROM orders, (VALUES (1), (2)) v(copy) WHERE copy = 1 OR o_orderstatus = 'P'""")
+def push_to_store(spark, sf_dir):
+    """Rows pushed to a store that has some of them; some are pushed twice at once."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    log = ChangeLog(spark, new_folder(spark, "push"), "o_orderkey bigint, o_orderstatus string, o_totalprice double", "o_orderkey", buckets=8)
+    log.put(o.where("o_orderpriority = '1-URGENT'"))
+    new = o.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return log.put_new(new.unionByName(new.where("o_orderstatus = 'P'")))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 0)""")
+def key_lookup(spark, sf_dir):
+    """Orders of some customers, from a table bucketed by customer: only the keys are shuffled."""
+    table = Bucketed(spark, new_folder(spark, "orders"), "o_custkey bigint, o_orderkey bigint, o_totalprice double", "o_custkey", 8)
+    table.append(_t(spark, sf_dir, "orders"), spread_by="o_orderkey", spread=2)
+    keys = _t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table.lookup(keys).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""WITH v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+          SELECT e.event_id, v.value AS valid FROM events e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts WHERE e.event_type <> 'purchase'""")
+def version_as_of(spark, sf_dir):
+    """The value of each user's last purchase at the time of each other event."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    versions = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("valid"))
+    return history.as_of(e.where("event_type <> 'purchase'"), versions, "user_id", "ts", ["valid"]).select("event_id", "valid")
+
+
+@query("""SELECT user_id, event_id, value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id, value) AS valid_to FROM events WHERE event_type = 'purchase'""")
+def version_intervals(spark, sf_dir):
+    """From when to when each user's purchase was the last."""
+    e = _t(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    return history.intervals(e, "user_id", "ts").drop("ts")
+
+
+@query("""WITH g AS (SELECT event_type AS run_id, extract(hour FROM ts)::INT AS cycle, max(value) * CASE WHEN extract(hour FROM ts)::INT < 6 THEN 2 ELSE 1 END AS s FROM events GROUP BY event_type, extract(hour FROM ts)::INT)
+          SELECT run_id, count(*) AS cycles, arg_min(s, cycle) AS first, arg_max(s, cycle) AS last, max(s) AS best, arg_min(cycle, struct_pack(a := -s, b := cycle)) AS best_cycle FROM g GROUP BY run_id""")
+def run_provenance(spark, sf_dir):
+    """Runs of cycles written by run and cycle, of which the first were written again with other scores."""
+    e, path = _t(spark, sf_dir, "events"), new_folder(spark, "runs")
+    cycles = e.select(F.col("event_type").alias("run_id"), F.hour("ts").alias("cycle"), F.col("value").alias("score")).repartition("run_id", "cycle")
+    history.write_cycles(cycles, path)
+    history.write_cycles(cycles.where("cycle < 6").withColumn("score", F.col("score") * 2), path)
+    return history.runs(history.read_cycles(spark, path), "score")

@@ -62,6 +62,7 @@ class Bucketed:
         if self.parts:
             rows = rows.sortWithinPartitions(*self.parts, self.key)
         rows.select(*columns).write.mode("append").insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)  # rows of another session, as in a stream's batch, don't tell this one
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
