@@ -1,10 +1,14 @@
 """Evaluation statistics: scores of two arms, trigger recall, costs, trade-offs, gates."""
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions.rules import DEFAULT_MODEL, PRICES
 from lodestack.functions.scalars import line_count
@@ -74,29 +78,53 @@ def assertion(kind: Column, text: Column, value: Column) -> Column:
 STATED = r"^(?:contains |does not contain |starts with |ends with |matches regex |matches pattern |has at least |is valid json|output is valid json)"
 
 
+_REGEX = r"^matches\s+(?:regex|pattern)\s+/(.+)/$"
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def regex_hits(text: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Whether each of the patterns, which stand in the data, is found in the text; one that is no pattern is not, and null has none."""
+
+    @functools.lru_cache(1000)
+    def compiled(p: str) -> re.Pattern | None:
+        try:
+            return re.compile(p)
+        except (re.error, OverflowError, RecursionError):
+            return None
+
+    def found(t: str | None, p: str | None) -> bool | None:
+        return None if p is None else bool((c := compiled(p)) and c.search(t or ""))
+
+    return pd.Series([None if ps is None else [found(t, p) for p in ps] for t, ps in zip(text, patterns, strict=True)], dtype=object)
+
+
 def stated(text: Column, assertion: Column) -> Column:
     """An assertion in words on a text: contains, does not contain, starts with, ends with (case does not count), is valid json,
     has at least N lines, matches regex /.../, or several of these joined by or. Null where it is none of them."""
     low = F.lower(F.coalesce(text, F.lit("")))
 
-    def one(said: Column, raw: Column) -> Column:
+    def one(said: Column, raw: Column, found: Column) -> Column:
         def needle(start: str) -> Column:
             quoted = rf"""^{start}\s+["'](.+?)["']$"""
             return F.when(said.rlike(quoted), F.regexp_extract(said, quoted, 1)).otherwise(F.regexp_extract(said, rf"^{start}\s+(.+)$", 1))
 
-        pattern = F.nullif(F.regexp_extract(raw, r"^matches\s+(?:regex|pattern)\s+/(.+)/$", 1), F.lit(""))
         least = F.regexp_extract(said, r"^has at least (\d+) lines?$", 1).try_cast("int")
         return (
             F.when(said.rlike(r"^contains\s+."), low.contains(needle("contains"))).when(said.rlike(r"^does not contain\s+."), ~low.contains(needle("does not contain")))
             .when(said.isin("is valid json", "output is valid json"), F.try_parse_json(text).isNotNull()).when(least.isNotNull(), line_count(F.coalesce(text, F.lit(""))) >= least)
             .when(said.rlike(r"^starts with\s+."), F.ltrim(low).startswith(needle("starts with"))).when(said.rlike(r"^ends with\s+."), F.rtrim(low).endswith(needle("ends with")))
-            .when(pattern.isNotNull(), F.regexp_like(text, pattern))
+            .when(raw.rlike(_REGEX), found)
         )
 
     said = F.lower(F.trim(assertion))
     parts = F.split(said, r"\s+or\s+", -1)
     several = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(STATED))
-    return F.when(several, F.coalesce(F.exists(parts, lambda p: F.coalesce(one(p, p), F.lit(False))), F.lit(False))).otherwise(one(said, F.trim(assertion)))
+    patterns = F.transform(F.when(several, parts).otherwise(F.array(F.trim(assertion))), lambda p: F.when(p.rlike(_REGEX), F.regexp_extract(p, _REGEX, 1)))
+    # a lambda can't hold a Python function, so what it found is laid beside the parts
+    none = F.transform(patterns, lambda p: F.lit(None).cast("boolean"))
+    hits = F.coalesce(F.when(F.exists(patterns, lambda p: p.isNotNull()), regex_hits(text, patterns)), none)
+    each = F.transform(F.arrays_zip(parts, hits), lambda z: F.coalesce(one(z["0"], z["0"], z["1"]), F.lit(False)))
+    return F.when(several, F.exists(each, lambda x: x)).otherwise(one(said, F.trim(assertion), F.get(hits, F.lit(0))))
 
 
 def permitted(permissions: Column, action: str, namespace: Column) -> Column:

@@ -80,11 +80,18 @@ def case_errors(item: Column, fields: Sequence[str]) -> Column:
     return F.when(thing, F.array_compact(F.array(*[F.when(~F.array_contains(keys, f), f) for f in fields])))
 
 
+def _units(x: Column, places: int) -> Column:
+    """A number that was rounded to places, as a whole number of its last place: sums of these don't depend on their order."""
+    return F.round(x * 10**places).cast("long")
+
+
 def side_by_side(runs: DataFrame, case: str, side: str, value: str, a: str, b: str) -> DataFrame:
-    """(case, a, b): the mean of each side, and in one row without a case the means of those means, each rounded first."""
+    """(case, a, b): the mean of each side, and in one row without a case the means of those means, each rounded first, ties away from zero."""
     mean = lambda s: F.round(F.avg(F.when(F.col(side) == s, F.col(value))), 4).alias(s)
     by = runs.groupBy(case).agg(mean(a), mean(b))
-    total = by.agg(F.round(F.avg(a), 4).alias(a), F.round(F.avg(b), 4).alias(b)).select(F.lit(None).cast(runs.schema[case].dataType).alias(case), a, b)
+    sums = by.agg(*[f(_units(F.col(s), 4)).alias(f"{s}_{n}") for s in (a, b) for n, f in (("sum", F.sum), ("n", F.count))])
+    whole = lambda s: F.when(F.col(f"{s}_n") > 0, F.expr(f"sign(`{s}_sum`) * ((2 * abs(`{s}_sum`) + `{s}_n`) div greatest(2 * `{s}_n`, 1))") / 10000).cast("double").alias(s)
+    total = sums.select(F.lit(None).cast(runs.schema[case].dataType).alias(case), whole(a), whole(b))
     return by.unionByName(total)
 
 
@@ -95,8 +102,9 @@ def compare_summary(runs: DataFrame, case: str, side: str, a: str, b: str, rate:
     own = lambda s, x: F.avg(F.when(F.col(side) == s, F.col(x)))
     by = runs.groupBy(case).agg(*[
         F.round(F.coalesce(own(s, x), F.lit(0.0)), places).alias(f"{n}_{x_}") for n, s in (("a", a), ("b", b)) for x_, x, places in (("rate", rate, 4), ("tokens", tokens, 1), ("passed", assertions, 1))])
-    total = by.agg(*[f.alias(c) for n in "ab" for f, c in (
-        (E.mean(F.col(f"{n}_rate")), f"{n}_rate"), (E.mean(F.col(f"{n}_tokens")), f"{n}_tokens"), (F.coalesce(F.sum(f"{n}_passed"), F.lit(0.0)), f"{n}_passed"))])
+    mean = lambda c, places: F.coalesce(F.sum(_units(F.col(c), places)).cast("double") / F.nullif(F.count(c), F.lit(0)) / 10.0**places, F.lit(0.0)).alias(c)
+    total = by.agg(*[f for n in "ab" for f in (
+        mean(f"{n}_rate", 4), mean(f"{n}_tokens", 1), F.coalesce(F.sum(_units(F.col(f"{n}_passed"), 1)).cast("double") / 10.0, F.lit(0.0)).alias(f"{n}_passed"))])
     each = lambda n: F.when(F.col(f"{n}_passed") > 0, F.col(f"{n}_tokens") / F.col(f"{n}_passed"))
     ratio = F.when(F.col("a_tokens") > 0, F.col("b_tokens") / F.col("a_tokens")).otherwise(0.0)
     return total.select(

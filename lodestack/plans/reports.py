@@ -39,7 +39,7 @@ def _runs(spark, sf_dir, n):
 
 @query(f"""WITH r AS ({_RUNS_SQL.format(n=40)}),
           c AS (SELECT k, {', '.join(f"round(coalesce(avg({x}) FILTER (arm = '{s}'), 0.0), {d}) AS {n}_{y}" for n, s in (('a', 'purchase'), ('b', 'view')) for x, y, d in (('rate', 'rate', 4), ('tokens', 'tokens', 1), ('tools', 'passed', 1)))} FROM r GROUP BY k),
-          t AS (SELECT {', '.join(f"coalesce(avg({n}_rate), 0.0) AS {n}_rate, coalesce(avg({n}_tokens), 0.0) AS {n}_tokens, coalesce(sum({n}_passed), 0.0) AS {n}_passed" for n in 'ab')} FROM c),
+          t AS (SELECT {', '.join(f"coalesce(sum(round({n}_rate * 10000)::BIGINT)::DOUBLE / count({n}_rate) / 10000.0::DOUBLE, 0.0) AS {n}_rate, coalesce(sum(round({n}_tokens * 10)::BIGINT)::DOUBLE / count({n}_tokens) / 10.0::DOUBLE, 0.0) AS {n}_tokens, coalesce(sum(round({n}_passed * 10)::BIGINT)::DOUBLE / 10.0::DOUBLE, 0.0) AS {n}_passed" for n in 'ab')} FROM c),
           e AS (SELECT *, CASE WHEN a_passed > 0 THEN a_tokens / a_passed END AS x, CASE WHEN b_passed > 0 THEN b_tokens / b_passed END AS y FROM t)
           SELECT round(a_rate, 4) AS a_rate, round(a_tokens, 1) AS a_tokens, round(a_passed, 1) AS a_passed, round(x, 1) AS a_tokens_each, round(b_rate, 4) AS b_rate, round(b_tokens, 1) AS b_tokens,
             round(b_passed, 1) AS b_passed, round(y, 1) AS b_tokens_each, round(CASE WHEN a_tokens > 0 THEN b_tokens / a_tokens ELSE 0 END, 4) AS token_ratio,

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import scalars
 from lodestack.functions import skill_rules as S
-from lodestack.operators import catalog, runs, skills
-from lodestack.plans.catalogue import _q, _t, query
+from lodestack.operators import audit, catalog, runs, skills, store
+from lodestack.plans.catalogue import ALL_RULES, _findings_sql, _q, _t, query
 
 
 def _in(words) -> str:
@@ -119,11 +119,13 @@ def _all_findings(spark, sf_dir):
     return families[0].unionByName(families[1]).unionByName(families[2])
 
 
-@query(f"""SELECT doc_id, count(*) FILTER (starts_with(code, 'STR-')) AS str, count(*) FILTER (starts_with(code, 'SEC-')) AS sec, count(*) FILTER (starts_with(code, 'PERM-')) AS perm,
-           count(*) FILTER (starts_with(code, 'QLT-')) AS qlt FROM ({_FULL}) GROUP BY doc_id""")
+@query(f"""WITH {_findings_sql(ALL_RULES)}, every AS (SELECT doc_id, code FROM ({_FULL}) UNION ALL SELECT doc_id, code FROM f)
+           SELECT doc_id, count(*) FILTER (starts_with(code, 'STR-')) AS str, count(*) FILTER (starts_with(code, 'SEC-')) AS sec, count(*) FILTER (starts_with(code, 'PERM-')) AS perm,
+           count(*) FILTER (starts_with(code, 'QLT-')) AS qlt FROM every GROUP BY doc_id""")
 def skill_prefix_counts(spark, sf_dir):
-    """Findings of all families by the prefix of their codes."""
-    return skills.prefix_counts(_all_findings(spark, sf_dir), "doc_id")
+    """Findings of all four families by the prefix of their codes."""
+    lines = audit.findings(_t(spark, sf_dir, "documents"), ALL_RULES)
+    return skills.prefix_counts(_all_findings(spark, sf_dir).select("doc_id", "code").unionByName(lines.select("doc_id", "code")), "doc_id")
 
 
 _EXPLAIN = {"STR-005": "A name is required.", "QLT-002": "Say more."}, {"STR": "Structure.", "PERM": "Scope."}
@@ -284,10 +286,13 @@ def metadata_diff(spark, sf_dir):
     return catalog.metadata_diff(p.where(k % 4 != 0).select(k.alias("k"), F.col("p_type").alias("v")), p.where(k % 7 != 0).select(k.alias("k"), new.alias("v")), "k", "v")
 
 
-@query("""WITH s AS (SELECT source, max(doc_id) % 3 AS step, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS now FROM documents WHERE doc_id < 500 GROUP BY source)
+@query("""WITH s AS (SELECT source, max(doc_id) % 3 AS step, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS now FROM documents GROUP BY source)
           SELECT source, CASE step WHEN 0 THEN 'initial' WHEN 1 THEN 'unchanged' ELSE 'changed' END AS state, CASE WHEN step <> 1 THEN 1 ELSE 0 END::BIGINT AS versions_added FROM s""")
 def lifecycle_states(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("doc_id < 500").groupBy("source").agg(F.max("doc_id").alias("m"), F.sha2(F.array_join(F.array_sort(F.collect_list("doc_id")), ","), 256).alias("fingerprint"))
+    """A source's state by its fingerprint and the one recorded last."""
+    docs = _t(spark, sf_dir, "documents")
+    ids = docs.groupBy(F.col("source").alias("_s")).agg(F.max("doc_id").alias("m"))
+    d = store.fingerprint(docs, "source", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).join(ids, F.col("source").eqNullSafe(F.col("_s")))
     last = F.when(F.col("m") % 3 == 1, F.col("fingerprint")).when(F.col("m") % 3 == 2, F.lit("other"))
     state = catalog.lifecycle(F.col("fingerprint"), last)
     return d.select("source", state.alias("state"), (state != "unchanged").cast("long").alias("versions_added"))
@@ -402,12 +407,13 @@ _REPLIES = ["text", "concat('Here: ```markdown', chr(10), ' kept ', chr(10), '``
 _REPLY = f"SELECT doc_id, {_pick('t', _REPLIES)}, {_pick('name', ['concat(source, chr(47), lang)', repr('My Skill!'), repr('/'), repr('a/b/C_d')])}, {_pick('section', [repr('{"normalized": 0.5}'), repr('{"overall": 0.25, "pass_rate": 1}'), repr('{"error": "x", "overall": 1}'), repr('{"skipped": true, "overall": 1}'), 'NULL'])} FROM documents"
 
 
-@query(f"""SELECT doc_id, sha256(CASE doc_id % 5 WHEN 1 THEN 'kept' WHEN 4 THEN 'x' ELSE regexp_replace(t, '^\\s+|\\s+$', '', 'g') END) AS answer, CASE doc_id % 5 WHEN 2 THEN '[1, 2] b [3]' END AS listed,
+@query(rf"""SELECT doc_id, sha256(regexp_replace(CASE WHEN regexp_matches(t, '(?s)```(?:markdown|md)?\s*\n(.*?)```') THEN regexp_extract(t, '(?s)```(?:markdown|md)?\s*\n(.*?)```', 1) ELSE t END, '^\s+|\s+$', '', 'g')) AS answer,
+           CASE WHEN strpos(t, '[') > 0 AND strpos(t, ']') > 0 AND length(t) - strpos(reverse(t), ']') + 1 > strpos(t, '[') THEN substr(t, strpos(t, '['), length(t) - strpos(reverse(t), ']') + 2 - strpos(t, '[')) END AS listed,
            CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'my-skill-' WHEN 2 THEN 'downloaded-skill' ELSE 'c-d' END AS slug, CASE doc_id % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END::DOUBLE AS score
-           FROM ({_REPLY}) JOIN documents USING (doc_id) WHERE doc_id % 5 > 0 OR NOT contains(text, '```') AND NOT contains(text, '[')""")
+           FROM ({_REPLY}) JOIN documents USING (doc_id)""")
 def reply_parts(spark, sf_dir):
     """Answers in fences, lists in noisy text, slugs of names, scores of report sections."""
-    r = _view(spark, sf_dir, _REPLY, "documents").where((F.col("doc_id") % 5 > 0) | ~F.contains(F.col("t"), F.lit("```")) & ~F.contains(F.col("t"), F.lit("[")))
+    r = _view(spark, sf_dir, _REPLY, "documents")
     t = F.col("t")
     return r.select("doc_id", F.sha2(scalars.fenced_answer(t), 256).alias("answer"), scalars.bracketed(t).alias("listed"), scalars.slug(F.col("name")).alias("slug"), scalars.section_score(F.col("section")).alias("score"))
 
@@ -483,7 +489,7 @@ def eval_case_errors(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT user_id % 30 AS eval_id, round(avg(event_id % 9) FILTER (event_type = 'view'), 4) AS view, round(avg(event_id % 9) FILTER (event_type = 'click'), 4) AS click FROM events GROUP BY 1)
-          SELECT * FROM b UNION ALL SELECT NULL, round(avg(view), 4), round(avg(click), 4) FROM b""")
+          SELECT * FROM b UNION ALL SELECT NULL, ((2 * sum(round(view * 10000)::BIGINT) + count(view)) // (2 * count(view))) / 10000, ((2 * sum(round(click * 10000)::BIGINT) + count(click)) // (2 * count(click))) / 10000 FROM b""")
 def side_by_side(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("eval_id"), "event_type", (F.col("event_id") % 9).alias("v"))
     return runs.side_by_side(e, "eval_id", "event_type", "v", "view", "click")

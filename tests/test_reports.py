@@ -68,3 +68,14 @@ def test_texts_are_folded_and_compared(spark):
     pairs = [("a\nb\nc\n", "a\nx\nc\n"), ("a", "a"), (None, "a\n"), ("a\n", None), (None, None), ("", "")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", texts.unified_diff("a", "b").alias("d")).collect()
     assert all(r["d"] == "".join(difflib.unified_diff((r["a"] or "").splitlines(True), (r["b"] or "").splitlines(True), "old", "new")) for r in got)
+
+
+def test_means_of_means_do_not_depend_on_the_order_of_additions(spark):
+    # 30 rounded means whose exact sum, 120.8175, halves a last place when divided
+    means = [4.0] * 28 + [4.4, 4.4175]
+    rows = [(i, "a", m) for i, m in enumerate(means)] + [(i, "b", -m) for i, m in enumerate(means)]
+    for k in (1, 7, 200):
+        got = runs.side_by_side(spark.createDataFrame(rows[::-1] if k == 7 else rows, "k long, side string, v double").repartition(k), "k", "side", "v", "a", "b").where("k IS NULL").first()
+        assert (got["a"], got["b"]) == (4.0273, -4.0273)
+    none = runs.side_by_side(spark.createDataFrame([], "k long, side string, v double"), "k", "side", "v", "a", "b").collect()
+    assert [tuple(r) for r in none] == [(None, None, None)]

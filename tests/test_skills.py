@@ -22,6 +22,7 @@ def test_an_assertion_reads_the_column_it_is_given(spark):
 @pytest.mark.parametrize(
     ("said", "text", "passed"),
     [("is valid json", '{"a": 1}', True), ("is valid json", "3", True), ("is valid json", "{", False), ("matches regex /A+/", "xAA", True), ("matches regex /A+/ or contains q", "xaa", True),
+     ("matches regex /(/", "x(", False), ("matches regex /(/ or contains x", "ax", True), ("matches pattern /*/ or matches regex /b/", "aB", False), ("matches regex /(?P<n>b)/", "abc", True), ("matches regex /x/", None, False),
      ("has at least 2 lines", "a\r\nb\n", True), ("has at least 2 lines", "a\n", False), ("ends with 'C'", "abc \n", None), ("looks good", "x", None), ("contains", "contains", None)],
 )
 def test_stated_assertions(spark, said, text, passed):
