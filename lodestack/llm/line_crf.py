@@ -231,7 +231,8 @@ def train(
     order = F.xxhash64("_id", F.lit("sample"))
     chosen = own.where("_y = 0").orderBy(order, "_id").limit(sample).unionByName(own.where("_y = 1").orderBy(order, "_id").limit(sample))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id")  # 2 * sample ids
+    # 2 * sample ids; of rows with one id the least text counts, whatever their order
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in source:
@@ -246,7 +247,7 @@ def train(
 
     kind = rows.schema["_id"].dataType.simpleString()
     got = rows.select("_id", "_y", "_text").mapInArrow(describe, f"_id {kind}, y int, x binary, length binary")
-    got = got.dropDuplicates(["_id"]).toPandas().sort_values("_id", ignore_index=True)
+    got = got.toPandas().sort_values("_id", ignore_index=True)
     if set(got["y"]) != {0, 1}:
         return None
     lengths = [np.frombuffer(v, np.int64) for v in got["length"]]

@@ -45,7 +45,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of documents, taken in two batches into a new digest index."""
     docs = _table(spark, sf_dir, "documents")
-    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731  the sum of two longs may be none
+    middle = docs.agg(((wide(F.min("doc_id")) + wide(F.max("doc_id"))) / 2).cast("long")).first()[0]
     # the second batch, of smaller ids, meets what the first has indexed
     index = exact_dedup.DigestIndex(spark)
     out = exact_dedup.dedup(docs, index, cuts=[] if middle is None else [middle])

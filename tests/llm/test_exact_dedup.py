@@ -64,3 +64,11 @@ def test_hot_group_stays_whole(spark):
     out = dedup(spark.createDataFrame(rows, SCHEMA), DigestIndex(spark)).collect()
     assert len(out) == 3000 and sum(r["kept"] for r in out) == 1001
     assert {r["group_size"] for r in out if r["doc_id"] % 3} == {2000}
+
+
+def test_query_takes_ids_whose_sum_is_no_long(spark, tmp_path):
+    from lodestack.llm.queries import op4_exact_dedup
+
+    rows = [(5 * 10**18, "a", 0), (6 * 10**18, "A", 0), (-(2**63), "b", 0), (2**63 - 1, None, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in op4_exact_dedup(spark, str(tmp_path)).collect()} == {(5 * 10**18, 6 * 10**18, False), (6 * 10**18, 6 * 10**18, True), (-(2**63), -(2**63), True), (2**63 - 1, 2**63 - 1, True)}

@@ -113,3 +113,11 @@ def test_without_labels(spark):
     assert line_crf.train(docs, none) is None
     assert line_crf.score(docs, None).first()["score"] == 0.5
     assert line_crf.score(docs.limit(0), None).count() == 0
+
+
+def test_rows_of_one_id_count_alike_in_any_order(spark):
+    rows, labels = corpus(200)
+    rows += [(i, f"Another text of {i}.\nTHE | OF", "x") for i, _, _ in labels[:40]]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fields = [line_crf.train(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "doc_id long, text string, x string").repartition(1 + 2 * k), known) for k in range(2)]
+    assert np.array_equal(fields[0].weights, fields[1].weights) and fields[0].slope == fields[1].slope
