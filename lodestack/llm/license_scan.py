@@ -1,12 +1,12 @@
 """Licence notices in texts, by conditional compression.
 
 Blocks are windows of words around cue words (a licence's usual words in the notices' languages), as wide as
-the longest template on both sides and across line breaks, so a notice may be wrapped; overlapping ones are
-joined. In a block, the candidates of a template are stretches that have every word of it in order, with at
-most `slack` foreign words between the first and the last. A stretch is compressed alone and with each template as
-a zstandard raw dictionary: the more of the stretch a template explains, the larger the reduction; templates
-that save bytes are ranked by it. Of templates at overlapping words, the longer one stands, then the one with
-fewer foreign words, then the better ranked. Case and punctuation don't count, in sizes and wordings alike.
+a template on both sides and across line breaks, so a notice may be wrapped. A template's block is compressed alone and with
+the template as a zstandard raw dictionary: the more of the block it explains, the larger the reduction. Templates
+whose reduction is at least SHARE of what they save on their own wording are candidates, ranked by it. A candidate is confirmed by its exact word difference from a stretch of the block: the
+fewest words inserted, deleted and replaced, at most `edits` of them (one for templates of under five words, a word in twenty for long
+ones). Words that tell a short template's licence from the others, and numbers, may not be lost. Of confirmed stretches that overlap, the one whose
+compression its template reduces most stands, then that with fewer edits. Case and punctuation don't count, in sizes and wordings alike.
 
 Templates are a parameter: (licence, notice) pairs of a bounded number; every task holds them. The default ones
 are short mentions, headers of files and licence texts; of texts of thousands of words, their titles.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
@@ -125,78 +126,142 @@ def _words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m.group().lower() for m in found], [m.span() for m in found]
 
 
+#: Templates of more words are texts; shorter ones are told apart by words of their own.
+SHORT = 15
+#: Part of what a template saves on its own wording that it must save on a block.
+SHARE = 0.1
+#: Letters that are compressed before every block, alike with and without a template: zstandard codes the literals of very short
+#: texts in another way than those of longer ones, which would hide what a template saves.
+_PAD = bytes(b"etaoinshrdlucmfwypvbgkqjxz "[x % 27] for x in hashlib.shake_128(b"pad").digest(300))
+_MATCH, _REPLACE, _DELETE, _INSERT = range(4)
+#: Weights of the edits: a stretch that has all of a template's words, parted by others, goes before a part of the template.
+WEIGHT = {_REPLACE: 7, _DELETE: 5, _INSERT: 3}
+_NEVER = 1 << 20
+
+
+def own_words(templates: Sequence[tuple[str, list[str]]]) -> list[frozenset[str]]:
+    """Of each (licence, words): words that a stretch may not lack, i.e. those with a digit, and in short templates those that no other licence's short ones have."""
+    of: dict[str, set[str]] = {}
+    for name, words in templates:
+        if len(words) <= SHORT:
+            for w in words:
+                of.setdefault(w, set()).add(name)
+    return [frozenset(w for w in words if any(c.isdigit() for c in w) or len(words) <= SHORT and len(of[w]) == 1) for _, words in templates]
+
+
+def differences(block: Sequence[str], wanted: Sequence[str], kept: frozenset[str], most: int) -> list[tuple[int, int, list[tuple[int, str]]]]:
+    """Stretches (first, end, edits) of block that are wanted but for at most `most` words inserted, deleted or replaced, none of kept lost.
+
+    Edits are (kind, words) in order, those of least weight. Of stretches that overlap, that of least weight counts, then the one that ends first.
+    """
+    m = len(wanted)
+    old, begun = [0] * (m + 1), [0] * (m + 1)
+    for j in range(1, m + 1):
+        old[j] = min(_NEVER, old[j - 1] + (_NEVER if wanted[j - 1] in kept else WEIGHT[_DELETE]))
+    steps, ends = [], []
+    for p, word in enumerate(block):
+        new, start, step = [0] * (m + 1), [p + 1] * (m + 1), bytearray(m + 1)
+        for j in range(1, m + 1):
+            w = wanted[j - 1]
+            lost = _NEVER if w in kept else 0
+            best, kind, at = (old[j - 1], _MATCH, begun[j - 1]) if w == word else (old[j - 1] + lost + WEIGHT[_REPLACE], _REPLACE, begun[j - 1])
+            if new[j - 1] + lost + WEIGHT[_DELETE] < best:
+                best, kind, at = new[j - 1] + lost + WEIGHT[_DELETE], _DELETE, start[j - 1]
+            if old[j] + WEIGHT[_INSERT] < best:
+                best, kind, at = old[j] + WEIGHT[_INSERT], _INSERT, begun[j]
+            new[j], start[j], step[j] = min(best, _NEVER), at, kind
+        steps.append(step)
+        old, begun = new, start
+        if new[m] <= most * WEIGHT[_REPLACE]:
+            ends.append((new[m], p + 1, start[m]))
+    out: list[tuple[int, int, list[tuple[int, str]]]] = []
+    for _, end, first in sorted(ends):
+        if end > first and all(end <= a or z <= first for a, z, _ in out):
+            edits = _trace(block, wanted, steps, first, end)
+            if len(edits) <= most:
+                out.append((first, end, edits))
+    return sorted(out)
+
+
+def _trace(block: Sequence[str], wanted: Sequence[str], steps: list[bytearray], first: int, end: int) -> list[tuple[int, str]]:
+    edits, p, j = [], end, len(wanted)
+    while j > 0:
+        kind = steps[p - 1][j] if p > first else _DELETE
+        if kind == _REPLACE:
+            edits.append((kind, f"{wanted[j - 1]}>{block[p - 1]}"))
+        elif kind == _DELETE:
+            edits.append((kind, wanted[j - 1]))
+        elif kind == _INSERT:
+            edits.append((kind, block[p - 1]))
+        p, j = p - (kind != _DELETE), j - (kind != _INSERT)
+    return edits[::-1]
+
+
 class Scanner:
     """Templates made ready; one a task."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], slack: int, cues: str = CUES):
+    def __init__(self, templates: Sequence[tuple[str, str]], edits: int, cues: str = CUES):
         self.templates = [(name, *_words(text)[:1], text) for name, text in templates]
-        self.slack = slack
+        self.most = [edits and (min(1, edits) if len(words) < 5 else max(edits, len(words) // 20)) for _, words, _ in self.templates]
+        self.kept = own_words([(name, words) for name, words, _ in self.templates])
         self.cue = re.compile(cues, re.IGNORECASE)
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         self.given = [
             zstandard.ZstdCompressor(
-                level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                level=9, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                 write_content_size=False, write_checksum=False, write_dict_id=False,
             )
             for words in [*(words for _, words, _ in self.templates), ["spdx-license-identifier"]]
         ]
-        self.reach = max((len(words) for _, words, _ in self.templates), default=0) + slack
-        self.starts: dict[str, list[int]] = {}
-        for i, (_, words, _) in enumerate(self.templates):
-            if words:
-                self.starts.setdefault(words[0], []).append(i)
-        self.saved = functools.lru_cache(maxsize=20_000)(lambda words: tuple(self.reductions(words)))  # notices repeat from text to text
-
-    def blocks(self, text: str, spans: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        """(first, end) of words by their spans: windows around cues, overlapping ones joined."""
+        self.width = [len(words) + edits for _, words, _ in self.templates]
+        self.reach = max(self.width, default=0)
+        self.alone = functools.lru_cache(maxsize=20_000)(lambda words: len(self.plain.compress(self._raw(words))))
+        self.saved = functools.lru_cache(maxsize=100_000)(self.reduction)  # notices repeat from text to text
+        self.least = [max(1, int(SHARE * self.reduction(tuple(words), i))) for i, (_, words, _) in enumerate(self.templates)]
+
+    def cues(self, text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(first, end) of the words that each cue lies in."""
         ends = [z for _, z in spans]
-        begin = end = -1
-        for cue in self.cue.finditer(text):
-            a, z = bisect.bisect_right(ends, cue.start()), bisect.bisect_left(spans, (cue.end(),))
-            a, z = max(0, a - self.reach), min(len(spans), z + self.reach)
-            if a > end and end >= 0:
-                yield begin, end
-                begin = a
-            elif end < 0:
-                begin = a
-            end = max(end, z)
-        if end >= 0:
-            yield begin, end
+        return [(bisect.bisect_right(ends, c.start()), bisect.bisect_left(spans, (c.end(),))) for c in self.cue.finditer(text)]
+
+    @staticmethod
+    def _raw(words: Sequence[str]) -> bytes:
+        return _PAD + " ".join(words).encode("utf-8", "replace")
+
+    def reduction(self, words: tuple[str, ...], i: int) -> int:
+        """Bytes that template i saves (len(templates): the name of the tag)."""
+        return self.alone(words) - len(self.given[i].compress(self._raw(words)))
 
     def reductions(self, words: Sequence[str]) -> list[int]:
-        """Bytes that each template saves, and at last those that the name of the tag does."""
-        raw = " ".join(words).encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        return [alone - len(c.compress(raw)) for c in self.given]
-
-    def _block(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """Confirmed (first word, end, template, reduction, foreign words) in a block, by place."""
-        found = []
-        for a, w in enumerate(words):
-            for i in self.starts.get(w, ()):
-                wanted = self.templates[i][1]
-                z = self._end(words, a, wanted)
-                if z and (saved := self.saved(tuple(words[a:z]))[i]) > 0:
-                    found.append((a, z, i, saved, z - a - len(wanted)))
-        found.sort(key=lambda f: (-len(self.templates[f[2]][1]), f[4], f[0], -f[3], f[2]))
-        taken: list[tuple[int, int, int, int, int]] = []
-        for f in found:
+        return [self.reduction(tuple(words), i) for i in range(len(self.templates))]
+
+    def candidates(self, words: Sequence[str], cues: Sequence[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(reduction, template, first, end) of the blocks around cues of which a template saves enough, those that it saves most of first."""
+        found, there = set(), set(words)
+        for i, (width, kept, least) in enumerate(zip(self.width, self.kept, self.least, strict=True)):
+            if kept <= there:
+                for first, end in dict.fromkeys((max(0, a - width), min(len(words), z + width)) for a, z in cues):
+                    block = tuple(words[first:end])
+                    if kept <= set(block) and (saved := self.saved(block, i)) >= least:
+                        found.add((saved, i, first, end))
+        return sorted(found, key=lambda c: (-c[0], c[1:]))
+
+    def confirmed(self, words: list[str], cues: Sequence[tuple[int, int]]) -> list[tuple[int, int, int, int, list[tuple[int, str]]]]:
+        """(first word, end, template, reduction, edits) of confirmed stretches, by place."""
+        found = {}
+        for _, i, first, end in self.candidates(words, cues):
+            wanted = self.templates[i][1]
+            first, end = max(0, first - self.width[i]), end + self.width[i]  # a notice may go on beyond the block
+            for a, z, edits in differences(words[first:end], wanted, self.kept[i], self.most[i]):
+                lost = sum(kind != _INSERT for kind, _ in edits)
+                if lost * 20 <= 9 * len(wanted) and (saved := self.saved(tuple(words[first + a : first + z]), i)) > 0:
+                    found[first + a, first + z, i] = (first + a, first + z, i, saved, edits)
+        taken: list[tuple[int, int, int, int, list[tuple[int, str]]]] = []
+        for f in sorted(found.values(), key=lambda f: (-f[3], len(f[4]), f[0], f[2], f[1])):
             if all(f[1] <= t[0] or t[1] <= f[0] for t in taken):
                 taken.append(f)
         return sorted(taken)
 
-    def _end(self, words: list[str], a: int, wanted: list[str]) -> int:
-        """End of the shortest run from a that holds wanted in order with at most slack others between; 0 if there is none."""
-        at, last = a, min(len(words), a + len(wanted) + self.slack)
-        for n, x in enumerate(wanted):
-            most = min(last, a + n + self.slack + 1)
-            while at < most and words[at] != x:
-                at += 1
-            if at >= most:
-                return 0
-            at += 1
-        return at
-
     def tags(self, text: str) -> Iterator[dict]:
         """Findings of SPDX tags: the first from the tag on, others at their names."""
         for tag in _TAG.finditer(text):
@@ -204,8 +269,8 @@ class Scanner:
             while (operand := _OPERAND.match(text, at)) is not None:
                 name = " ".join(operand.group(1).split())
                 if name.upper() not in ("NONE", "NOASSERTION"):
-                    saved = self.saved(tuple(_words(f"SPDX-License-Identifier: {name}")[0]))[-1]
-                    yield {"start": operand.start(1) if start is None else start, "end": operand.end(1), "license": name, "saved": saved, "foreign": 0}
+                    saved = self.saved(tuple(_words(f"SPDX-License-Identifier: {name}")[0]), len(self.templates))
+                    yield {"start": operand.start(1) if start is None else start, "end": operand.end(1), "license": name, "saved": saved, **_counts([])}
                 operator = _OPERATOR.match(text, operand.end())
                 if operator is None:
                     break
@@ -218,31 +283,39 @@ class Scanner:
         n, out = 0, list(self.tags(text))
         tagged = [(f["start"], f["end"]) for f in out]
         words, spans = _words(text)
-        for first, end in self.blocks(text, spans):
-            n += 1
-            for a, z, i, saved, foreign in self._block(words[first:end]):
-                start, stop = spans[first + a][0], spans[first + z - 1][1]
-                if all(stop <= b or e <= start for b, e in tagged):
-                    out.append({"start": start, "end": stop, "license": self.templates[i][0], "saved": saved, "foreign": foreign})
+        cues, end = self.cues(text, spans), -1
+        for a, z in cues:
+            n += a - self.reach > end or end < 0  # windows of the widest template that overlap are one block
+            end = max(end, z + self.reach)
+        for a, z, i, saved, edits in self.confirmed(words, cues):
+            start, stop = spans[a][0], spans[z - 1][1]
+            if all(stop <= b or e <= start for b, e in tagged):
+                out.append({"start": start, "end": stop, "license": self.templates[i][0], "saved": saved, **_counts(edits)})
         return n, sorted(out, key=lambda f: f["start"])
 
 
-FINDINGS = "findings array<struct<start:int,end:int,license:string,saved:int,foreign:int>>"
+def _counts(edits: list[tuple[int, str]]) -> dict:
+    n = [sum(k == kind for k, _ in edits) for kind in (_INSERT, _DELETE, _REPLACE)]
+    signs = {_INSERT: "+", _DELETE: "-", _REPLACE: "~"}
+    return {"inserted": n[0], "deleted": n[1], "replaced": n[2], "difference": " ".join(signs[k] + w for k, w in edits)}
+
+
+FINDINGS = "findings array<struct<start:int,end:int,license:string,saved:int,inserted:int,deleted:int,replaced:int,difference:string>>"
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, slack: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, edits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Every row of docs as (id_col, n_blocks, findings array of (start, end, license, saved, foreign)).
+    """Every row of docs as (id_col, n_blocks, findings array of (start, end, license, saved, inserted, deleted, replaced, difference)).
 
-    start and end are characters of the text. Null and empty texts, and texts without cues, have no blocks and
+    start and end are characters of the text; difference lists the edits of a template's words (+inserted -deleted ~wanted>found). Null and empty texts, and texts without cues, have no blocks and
     no findings; templates that tie in all else stand in the order given. Repeated rows and null ids are rows like any others; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("saved", pa.int32()), ("foreign", pa.int32())])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("saved", pa.int32()), ("inserted", pa.int32()), ("deleted", pa.int32()), ("replaced", pa.int32()), ("difference", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, slack)
+        scanner = Scanner(templates, edits)
         for rb in rows:
             scanned = [scanner.scan(t.as_py() or "") for t in rb.column(1)]
             n, found = [x for x, _ in scanned], [x for _, x in scanned]

@@ -1,71 +1,116 @@
-import difflib
+import itertools
 import random
 import textwrap
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lodestack.llm.license_scan import NOTICES, Scanner, _words, scan_licenses
+from lodestack.llm.license_scan import NOTICES, SHORT, WEIGHT, Scanner, _words, differences, own_words, scan_licenses
 
 SCHEMA = "doc_id long, text string, findings string"
 
 
-def brute(text, slack=1):
-    """Licences whose template is a run of a line's words, by difflib on every run of words."""
-    found = []
-    for line in (text or "").split("\n"):
-        words, _ = _words(line)
-        hits = []
-        for name, notice in NOTICES:
-            want, _ = _words(notice)
-            for a in range(len(words)):
-                for z in range(a + len(want), min(len(words), a + len(want) + slack) + 1):
-                    run = words[a:z]
-                    if run[0] == want[0] and run[-1] == want[-1]:
-                        ops = [o for o in difflib.SequenceMatcher(None, want, run, autojunk=False).get_opcodes() if o[0] != "equal"]
-                        if all(o[0] == "insert" for o in ops):
-                            hits.append((-len(want), z - a - len(want), a, z, name))
-        taken = []
-        for h in sorted(hits):
-            if all(h[3] <= t[2] or t[3] <= h[2] for t in taken):
-                taken.append(h)
-        found += [t[4] for t in sorted(taken, key=lambda t: t[2])]
-    return found
+def weight(run, want, kept):
+    """Least weight of edits that make want of run, by the textbook table."""
+    table = {(0, 0): 0}
+    for i in range(len(run) + 1):
+        for j in range(len(want) + 1):
+            options = [table[i, j]] if (i, j) in table else []
+            lost = 10**6 if j and want[j - 1] in kept else 0
+            if i and j:
+                options.append(table[i - 1, j - 1] + (0 if run[i - 1] == want[j - 1] else WEIGHT[1] + lost))
+            if i:
+                options.append(table[i - 1, j] + WEIGHT[3])
+            if j:
+                options.append(table[i, j - 1] + WEIGHT[2] + lost)
+            table[i, j] = min(options)
+    return table[len(run), len(want)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdx"), max_size=14), st.lists(st.sampled_from("abcd"), min_size=1, max_size=5), st.integers(0, 3))
+def test_differences_match_brute_force(block, want, most):
+    kept = frozenset("d")
+    found = differences(block, want, kept, most)
+    runs = {(a, z): weight(block[a:z], want, kept) for a in range(len(block)) for z in range(a + 1, len(block) + 1)}
+    for a, z, edits in found:
+        assert len(edits) <= most and sum(WEIGHT[k] for k, _ in edits) == runs[a, z] == min(w for (x, y), w in runs.items() if y == z)
+        assert not any(k in (1, 2) and w[0] in kept for k, w in edits)
+    assert all(z <= x or y <= a for (a, z, _), (x, y, _) in itertools.combinations(found, 2))
+    exact = [i for i in range(len(block) - len(want) + 1) if block[i : i + len(want)] == want]
+    assert all(any(a <= i + len(want) - 1 and i < z for a, z, _ in found) for i in exact)
 
 
 def corpus():
     rng = random.Random(8)
     v = ["stone", "license", "under", "the", "License", "of", "Version", "CC", "MIT", "4.0", "work"]
-    rows = []
-    for i in range(150):
+    rows, want = [], {}
+    for i in range(200):
         lines = [" ".join(rng.choices(v, k=rng.randrange(12))) for _ in range(3)]
-        if i % 2:
-            name, notice = NOTICES[i % len(NOTICES)]
-            kind = i % 5
-            words = notice.split()
-            if kind == 1:
+        name, notice = NOTICES[i % len(NOTICES)]
+        words, kept, kind = notice.split(), own_words([(n, _words(t)[0]) for n, t in NOTICES])[i % len(NOTICES)], i % 5
+        long = len(words) >= 5
+        if kind == 1:
+            for _ in range(3 if long else 1):
                 words.insert(rng.randrange(1, len(words)), "really")
-            elif kind == 2:
-                del words[rng.randrange(len(words))]
-            elif kind == 3:
-                words = [w.upper() for w in words]
-            lines.insert(rng.randrange(4), "Note: " + " ".join(words) + ".")
+        elif kind == 2:
+            loose = [k for k, w in enumerate(words) if not set(_words(w)[0]) & kept]
+            if loose and long:
+                del words[rng.choice(loose)]
+        elif kind == 3:
+            words = [w.upper() for w in words]
+        elif kind == 4 and len(words) <= SHORT:
+            gone = [k for k, w in enumerate(words) if set(_words(w)[0]) & kept]
+            del words[rng.choice(gone)]
+        lines.insert(rng.randrange(4), "Note: " + " ".join(words) + ". Quiet rivers here.")
+        if not Scanner(NOTICES, 0).cue.search(" ".join(words)):
+            continue  # the words put in part its only cue
         rows.append((i, "\n".join(lines), "x"))
-    return rows + [(900, None, "x"), (901, "", "x"), (902, "word " * 30_000 + "Released under the MIT License. " + "word " * 30_000, "x"), (902, "x", "x"), (None, "All rights reserved", "x")]
+        want[i] = (name, kind != 4 or len(notice.split()) > SHORT)
+    more = [(900, None, "x"), (901, "", "x"), (902, "word " * 30_000 + "Released under the MIT License. " + "word " * 30_000, "x"), (902, "x", "x"), (None, "All rights reserved", "x")]
+    return rows + more, want
 
 
-def test_matches_brute_force(spark):
-    rows = corpus()
+def test_planted_notices(spark):
+    rows, want = corpus()
     out = scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows)
-    got = {(r["doc_id"], len(r["findings"])): [f["license"] for f in r["findings"]] for r in out}
-    for i, t, _ in rows:
-        want = brute(t) if i != 902 else (["MIT"] if len(t) > 9 else [])
-        assert got[i, len(want)] == want
+    got = {}
+    for r in out:
+        got.setdefault(r["doc_id"], []).append([f["license"] for f in r["findings"]])
+    for i, (name, there) in want.items():
+        assert (name in got[i][0]) if there else (got[i][0].count(name) == 0 or name == "MIT"), rows[i]
+    assert sorted(got[902]) == [[], ["MIT"]] and got[900] == got[901] == [[]] and got[None] == [["proprietary"]]
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "difference"),
+    [("Released under the terms of the MIT License", "MIT", "+the +terms +of"), ("Released under the very same old MIT License", "MIT", "+very +same +old"), ("Licensed under Apache 2.0", "Apache-2.0", "-the -license -version"),
+     ("Released under this MIT License", "MIT", "~the>this")],
+)
+def test_wordings_that_differ(text, name, difference):
+    rng = random.Random(2)
+    prose = [f"stone{rng.randrange(99)}" for _ in range(200)]
+    _, (f,) = Scanner(NOTICES, 3).scan(" ".join(prose[:100] + [text] + prose[100:]))
+    assert (f["license"], f["difference"]) == (name, difference) and f["inserted"] + f["deleted"] + f["replaced"] == len(difference.split())
+
+
+def test_candidates_are_ranked_by_what_they_save():
+    s = Scanner(NOTICES, 3)
+    text = "Released under the MIT License. Once upon a time. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    words, spans = _words(text)
+    ranked = s.candidates(words, s.cues(text, spans))
+    assert len(ranked) > 2 and [c[0] for c in ranked] == sorted((c[0] for c in ranked), reverse=True)
+    assert all(c[0] == s.reductions(words[c[2] : c[3]])[c[1]] >= s.least[c[1]] for c in ranked)
+    bsd = dict(reversed([(n, t) for n, t in NOTICES if t.startswith("Redistribution")]))["BSD-3-Clause"].split()
+    for k in (3, 20, 60):
+        assert [f["license"] for f in s.scan(" ".join(bsd[:k] + bsd[k + 1 :]) + " and so on")[1]] == ["BSD-3-Clause"]
 
 
 @pytest.mark.parametrize(("name", "notice"), NOTICES)
 def test_every_notice_is_found_and_saves_most(name, notice):
-    s = Scanner(NOTICES, 1)
+    s = Scanner(NOTICES, 3)
     text = f"Once upon a time. {notice}."
     _, (f,) = s.scan(text)
     assert (f["license"], text[f["start"] : f["end"]]) == (name, notice)
@@ -79,8 +124,8 @@ def test_near_wordings_are_told_apart():
     assert s.scan("the licence of stones") == (1, [])
 
 
-def licenses(text, slack=1):
-    out = Scanner(NOTICES, slack).scan(text)[1]
+def licenses(text, edits=3):
+    out = Scanner(NOTICES, edits).scan(text)[1]
     assert all(f["saved"] > 0 and 0 <= f["start"] < f["end"] <= len(text) for f in out)
     return [f["license"] for f in out]
 
@@ -115,7 +160,7 @@ def test_texts_and_headers_are_told_apart():
 def test_spdx_tags(tag, names):
     text = f"// SPDX-License-Identifier: {tag}\nor else"
     assert licenses(text) == names
-    found = Scanner(NOTICES, 1).scan(text)[1]
+    found = Scanner(NOTICES, 3).scan(text)[1]
     assert [text[f["start"] : f["end"]].removeprefix("SPDX-License-Identifier: ").lstrip("(") for f in found] == names
 
 
