@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import skill_rules as S
-from lodestack.functions.scalars import BREAKS
+from lodestack.functions.scalars import BREAKS, escape_message, escape_parameter
 
 
 def push(index: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -133,6 +133,25 @@ def annotations(found: DataFrame, by: str) -> DataFrame:
     return loud.unionByName(quiet)
 
 
+def workflow_line(level: Column, file: Column, line: Column, title: Column, body: Column) -> Column:
+    """A command line of a continuous-integration log: ::level file=...,line=...,title=...::body, escaped. A line stands only with a file and above 0."""
+    named = F.coalesce(file, F.lit("")) != ""
+    where = F.concat_ws(",", F.when(named, F.concat(F.lit("file="), escape_parameter(file))), F.when(named & (line > 0), F.concat(F.lit("line="), line.cast("string"))), F.concat(F.lit("title="), escape_parameter(title)))
+    return F.concat(F.lit("::"), level, F.lit(" "), where, F.lit("::"), escape_message(body))
+
+
+def report(found: DataFrame, by: str) -> DataFrame:
+    """(by, text): the findings of each as lines under their severity, the worst first, then by line number, code and title; a heading counts its own."""
+    rank = {"CRITICAL": 0, "WARNING": 1, "INFO": 2}
+    order = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in rank.items()], F.lit(len(rank)))
+    one = F.struct(order.alias("r"), "severity", F.coalesce("line_number", F.lit(0).cast("long")).alias("at"), "code", "title")
+    rows = found.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("f"))  # findings of one text
+    part = lambda s: F.filter("f", lambda x: x["severity"] == s)
+    text = lambda x: F.concat(F.lit("  "), x["code"], F.when(x["at"] > 0, F.concat(F.lit(" line "), x["at"].cast("string"))).otherwise(""), F.lit(": "), x["title"])
+    blocks = [F.when(F.size(part(s)) > 0, F.concat(F.lit(f"{s} ("), F.size(part(s)).cast("string"), F.lit(")\n"), F.array_join(F.transform(part(s), text), "\n"))) for s in rank]
+    return rows.select(by, F.concat_ws("\n", *blocks).alias("text"))
+
+
 def broken_links(docs: DataFrame, files: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, target, problem) of relative Markdown links: broken without such a file, deep over two parts of path."""
     link = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[[^\]]+\]\(([^)]+)\)"), 1)).alias("_l"))

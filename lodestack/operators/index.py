@@ -3,13 +3,14 @@
 Tables under one path, each row with the batch that wrote it; a batch counts once its row of totals is there, so one
 that broke off leaves nothing that a search sees. Batches are numbered, so an index has one writer at a time:
 
-- postings (term, id, n, places): bucketed by term, in folders by layer. n is the text's number of terms, places are
-  the term's positions in it; a text's layer is the power of four below n.
-- stats (term, layer, texts, most, least): texts of a layer that hold a term, its largest count in one and the least n.
+- postings (term, ids, counts, places): bucketed by term, in folders by layer. A row holds the texts with a term that one
+  task met together: how often each has it, and the term's positions in them, one text's after another's. A text's layer
+  is the power of four below its number of terms.
+- stats (term, layer, texts, most): texts of a layer that hold a term, and its largest count in one.
 - entries (id, n, layer, stored columns): bucketed by id, in folders by layer.
 - totals (texts, terms) and removed (id): an id that is removed hides the rows of earlier batches.
 
-Ranking is BM25 as in search.page. A layer's bound is the rank of a text of its least n with the largest counts; layers
+Ranking is BM25 as in search.page. A layer's bound is the rank of a text of the least n that it can have with the largest counts; layers
 are read in order of their bounds until they hold as many texts as are asked for, then only those whose bound reaches
 the last rank found. So common terms cost a few layers of their postings, and the driver holds a row for each layer
 (about ten) and term of the query.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,30 +29,47 @@ from pyspark.sql import functions as F
 from lodestack.operators.search import phrases, terms
 from lodestack.sources.tables import Bucketed, remove_folder
 
-#: Texts of a batch whose postings of one term one task writes.
-SPREAD = 1_000_000
+#: Texts of a batch whose postings of one term one task writes, and terms of texts whose postings are laid together.
+SPREAD, TOGETHER = 1_000_000, 500_000
 
 
 def _layer(n: Column) -> Column:
     return F.floor(F.log2(F.greatest(n, F.lit(1))) / 2).cast("int")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, term, places) of each text (id, words)."""
-    for batch in batches:
-        ids, sizes, found, places = [], [], [], []
-        for i, words in enumerate(batch.column(1).to_pylist()):
-            at: dict[str, list[int]] = {}
-            for k, w in enumerate(words):
-                at.setdefault(w, []).append(k)
-            ids += [i] * len(at)
-            sizes += [len(words)] * len(at)
-            found += at.keys()
-            places += at.values()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int64()), pa.array(found, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["id", "n", "term", "places"]
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, layer, ids, counts, places) of texts (id, words), some texts at a time."""
+
+    def flush(at: dict[tuple[str, int], tuple[list, list, list]], ids: pa.Array) -> pa.RecordBatch:
+        rows, counts, places = zip(*at.values())
+        flat = ids.take(pa.array([i for r in rows for i in r], pa.int64()))
+        ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in at], pa.string()), pa.array([x for _, x in at], pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(counts, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))],
+            ["term", "layer", "ids", "counts", "places"],
         )
 
+    for batch in batches:
+        ids, words, held = batch.column(0), batch.column(1), 0
+        at: dict[tuple[str, int], tuple[list, list, list]] = {}
+        for i in range(len(ids)):
+            own: dict[str, list[int]] = {}
+            for k, w in enumerate(words[i].as_py()):
+                own.setdefault(w, []).append(k)
+            n = sum(map(len, own.values()))
+            layer = (max(n, 1).bit_length() - 1) // 2
+            for w, places in own.items():
+                rows, counts, flat = at.setdefault((w, layer), ([], [], []))
+                rows.append(i)
+                counts.append(len(places))
+                flat += places
+            held += n
+            if held >= TOGETHER:
+                yield flush(at, ids)
+                at, held = {}, 0
+        if at:
+            yield flush(at, ids)
+
 
 class SearchIndex:
     """An index under path. id_type and stored are types of the id and of columns to filter and sort by (name: type), in DDL."""
@@ -59,8 +78,8 @@ class SearchIndex:
         self.spark, self.path, self.stored = spark, path, dict(stored or {})
         columns = "".join(f", `{k}` {t}" for k, t in self.stored.items())
         table = lambda name, schema, key, parts=(): Bucketed(spark, f"{path}/{name}", f"{schema}, batch string", key, buckets, parts)
-        self.postings = table("postings", f"term string, id {id_type}, n bigint, places array<int>, layer int", "term", ("layer",))
-        self.stats = table("stats", "term string, layer int, texts bigint, most bigint, least bigint", "term")
+        self.postings = table("postings", f"term string, ids array<{id_type}>, counts array<int>, places array<int>, layer int", "term", ("layer",))
+        self.stats = table("stats", "term string, layer int, texts bigint, most bigint", "term")
         self.entries = table("entries", f"id {id_type}, n bigint, layer int{columns}", "id", ("layer",))
         self.totals = table("totals", "texts bigint, terms bigint", "batch")
         self.removed = table("removed", f"id {id_type}", "id")
@@ -84,29 +103,33 @@ class SearchIndex:
         return self._whole(rows).join(by, F.col("id") == F.col("_gone"), "left").where("_by IS NULL OR batch > _by").drop("_gone", "_by")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Index the texts whose id is not there yet; returns how many. Null texts have no terms; of rows with one id, any one counts; null ids are left out."""
+        """Index the texts whose id is not there yet; returns how many. Null texts have no terms, null ids are left out; of rows with one id, that whose
+        text has the least hash counts. Texts are shuffled only if an id is repeated, or if some are there already and are too many to broadcast."""
         batch = self._next()
-        new = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_w"), *self.stored).where(F.col("id").isNotNull()).dropDuplicates(["id"])
-        known = self._live(self.entries.read()).select("id")
-        new = new.join(known.hint("merge"), "id", "left_anti")
-        layer = _layer(F.size("_w"))
-        self.entries.append(new.select("id", F.size("_w").cast("bigint").alias("n"), layer.alias("layer"), *self.stored, F.lit(batch).alias("batch")))
-        own = self.entries.read().where(F.col("batch") == batch)
-        texts, words = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        # what was stored is what is indexed, even if docs were to give other rows a second time
-        kind = self.spark.table(self.entries.name).schema["id"].dataType.simpleString()
-        cut = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_w")).dropDuplicates(["id"]).join(own.select("id").hint("merge"), "id", "left_semi")
-        found = cut.mapInArrow(_places, f"id {kind}, n bigint, term string, places array<int>")
-        found = found.withColumns({"layer": _layer(F.col("n")), "batch": F.lit(batch)})
-        self.postings.append(found, spread_by="id", spread=max(1, texts // SPREAD))
-        self._count(self.postings.read().where(F.col("batch") == batch), batch, 1)
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_w"), F.xxhash64(text_col).alias("_h"), *self.stored)
+        narrow = rows.select("id", "_h", F.size("_w").cast("bigint").alias("n"), *self.stored)
+        one = narrow.groupBy("id").agg(F.min_by(F.struct("n", *self.stored), "_h").alias("_e"), F.count(F.lit(1)).alias("_rows"))
+        known = self._live(self.entries.read()).select(F.col("id").alias("_known"))
+        one = one.join(known.hint("merge"), F.col("id") == F.col("_known"), "left")
+        kept = self.path + f"/given/{batch}"
+        one.select("id", "_e.*", (F.col("_rows") > 1).alias("_twice"), F.col("_known").isNotNull().alias("_there")).write.parquet(kept)
+        one = self.spark.read.parquet(kept)
+        self.entries.append(one.where("NOT _there").select("id", "n", _layer(F.col("n")).alias("layer"), *self.stored), same={"batch": F.lit(batch)})
+        texts, words, twice, there = one.agg(F.count_if(~F.col("_there")), F.coalesce(F.sum(F.when(~F.col("_there"), F.col("n"))), F.lit(0)), F.max("_twice"), F.max("_there")).first()
+        cut = rows.select("id", "_w", "_h")
+        if there:
+            cut = cut.join(one.where("_there").select("id"), "id", "left_anti")
+        if twice:
+            cut = cut.groupBy("id").agg(F.min_by("_w", "_h").alias("_w"))
+        kind = rows.schema["id"].dataType.simpleString()
+        found = cut.select("id", "_w").mapInArrow(_postings, f"term string, layer int, ids array<{kind}>, counts array<int>, places array<int>")
+        self.postings.append(found, spread_by=F.get("ids", F.lit(0)), spread=max(1, texts // SPREAD), same={"batch": F.lit(batch)})
+        own = self.postings.read().where(F.col("batch") == batch)
+        self.stats.append(own.groupBy("term", "layer").agg(F.sum(F.size("ids")).alias("texts"), F.max(F.array_max("counts")).cast("bigint").alias("most")), same={"batch": F.lit(batch)})
         self._commit(batch, texts, words)
+        remove_folder(self.spark, kept)
         return texts
 
-    def _count(self, postings: DataFrame, batch: str, sign: int) -> None:
-        by = postings.groupBy("term", "layer").agg((F.count(F.lit(1)) * sign).alias("texts"), F.max(F.size("places")).cast("bigint").alias("most"), F.min("n").alias("least"))
-        self.stats.append(by.withColumn("batch", F.lit(batch)))
-
     def _commit(self, batch: str, texts: int, words: int) -> None:
         self.totals.append(self.spark.range(1).select(F.lit(texts).cast("bigint").alias("texts"), F.lit(words).cast("bigint").alias("terms"), F.lit(batch).alias("batch")))
 
@@ -117,30 +140,40 @@ class SearchIndex:
         texts, words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.removed.append(gone.select("id", F.lit(batch).alias("batch")))
         own = self.removed.read().where(F.col("batch") == batch).select("id")
-        self._count(self._live(self.postings.read()).join(own.hint("merge"), "id", "left_semi"), batch, -1)
+        left = self._live(self._each(self.postings.read(), False)).join(own.hint("merge"), "id", "left_semi")
+        self.stats.append(left.groupBy("term", "layer").agg((-F.count(F.lit(1))).alias("texts"), F.lit(0).cast("bigint").alias("most")), same={"batch": F.lit(batch)})
         self._commit(batch, -texts, -words)
         return texts
 
+    def _each(self, postings: DataFrame, placed: bool) -> DataFrame:
+        """(term, layer, batch, id, f): a row for each text of postings; f is its count of the term, or (placed) the term's positions in it."""
+        if not placed:
+            return postings.select("term", "layer", "batch", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("counts").alias("f"))))
+        ends = F.aggregate("counts", F.array(F.lit(0)), lambda e, c: F.array_append(e, F.element_at(e, -1) + c))
+        rows = postings.select("term", "layer", "batch", "ids", "places", "counts", ends.alias("_ends"))
+        own = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.slice("places", F.get("_ends", i) + 1, F.get("counts", i)).alias("f")))
+        return rows.select("term", "layer", "batch", F.inline(own))
+
     def _found(self, wanted: Sequence[str], layers: Sequence[int] | None) -> DataFrame:
-        """(id, n, _f0, _f1, ...): how often each wanted phrase stands in each text that holds all of their terms."""
-        every = sorted({t for p in wanted for t in p.split(" ")})
+        """(id, _f0, _f1, ...): how often each wanted phrase stands in each text that holds all of their terms. Positions are read only for phrases."""
+        every, placed = sorted({t for p in wanted for t in p.split(" ")}), any(" " in p for p in wanted)
         rows = self._whole(self.postings.among(every))
         rows = rows if layers is None else rows.where(F.col("layer").isin(list(layers)))
-        by = self._live(rows).groupBy("id").agg(F.max("n").alias("n"), *[F.max_by("places", F.when(F.col("term") == t, 1)).alias(f"_p{i}") for i, t in enumerate(every)])
+        by = self._live(self._each(rows, placed)).groupBy("id").agg(*[F.max_by("f", F.when(F.col("term") == t, 1)).alias(f"_p{i}") for i, t in enumerate(every)])
         by = by.where(" AND ".join(f"_p{i} IS NOT NULL" for i in range(len(every))))
 
         def start(term: str, k: int) -> Column:
             return F.transform(F.col(f"_p{every.index(term)}"), lambda x: x - k)
 
         def times(phrase: str) -> Column:
-            return F.size(reduce(F.array_intersect, [start(t, k) for k, t in enumerate(phrase.split(" "))]))
+            return F.size(reduce(F.array_intersect, [start(t, k) for k, t in enumerate(phrase.split(" "))])) if placed else F.col(f"_p{every.index(phrase)}")
 
-        return by.select("id", "n", *[times(p).alias(f"_f{i}") for i, p in enumerate(wanted)]).where(" AND ".join(f"_f{i} > 0" for i in range(len(wanted))))
+        return by.select("id", *[times(p).alias(f"_f{i}") for i, p in enumerate(wanted)]).where(" AND ".join(f"_f{i} > 0" for i in range(len(wanted))))
 
     def _filtered(self, found: DataFrame | None, namespace: tuple[str, str] | None, tag: tuple[str, str] | None, layers: Sequence[int] | None = None) -> DataFrame:
         """found (None: all) with the stored columns, of entries in a namespace and with a tag."""
         entries = self.entries.read() if layers is None else self.entries.read().where(F.col("layer").isin(list(layers)))
-        keep = self._live(entries).select("id", *self.stored)
+        keep = self._live(entries).select("id", "n", *self.stored)
         if namespace:
             keep = keep.where(F.col(namespace[0]) == namespace[1])
         if tag:
@@ -203,13 +236,11 @@ class SearchIndex:
     def _bounds(self, wanted: Sequence[str], rank) -> list[tuple[int, float, int]]:
         """(layer, largest rank possible, least number of texts that hold the rarest term), best first."""
         every = sorted({t for p in wanted for t in p.split(" ")})
-        by = self._whole(self.stats.among(every)).groupBy("layer", "term").agg(F.sum("texts").alias("texts"), F.max("most").alias("most"), F.min("least").alias("least"))
-        per = by.where("texts > 0").groupBy("layer").agg(
-            F.count(F.lit(1)).alias("held"), F.min("texts").alias("texts"), F.min("least").alias("least"), *[F.max(F.when(F.col("term") == t, F.col("most"))).alias(f"_m{i}") for i, t in enumerate(every)]
-        )
+        by = self._whole(self.stats.among(every)).groupBy("layer", "term").agg(F.sum("texts").alias("texts"), F.max("most").alias("most"))
+        per = by.where("texts > 0").groupBy("layer").agg(F.count(F.lit(1)).alias("held"), F.min("texts").alias("texts"), *[F.max(F.when(F.col("term") == t, F.col("most"))).alias(f"_m{i}") for i, t in enumerate(every)])
         per = per.where(F.col("held") == len(every))
         counts = [reduce(F.least, [F.col(f"_m{every.index(t)}") for t in p.split(" ")]) if " " in p else F.col(f"_m{every.index(p)}") for p in wanted]
-        bound = F.round(rank(counts, F.col("least")), 10)
+        bound = F.round(rank(counts, F.pow(F.lit(4), F.col("layer"))), 10)
         return [tuple(r) for r in per.select("layer", bound, "texts").orderBy(F.desc(bound)).collect()]
 
     def drop(self) -> None:

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators import history, manifests, syntax, transfer
+from lodestack.operators import audit, catalog, formats, history, manifests, syntax, transfer
 from lodestack.operators.changelog import ChangeLog
 from lodestack.operators.index import SearchIndex
 from lodestack.plans import reports  # noqa: F401  registers the searches whose SQL holds here too
-from lodestack.plans.catalogue import ORACLE, _t, query
+from lodestack.plans.catalogue import ALL_RULES, ORACLE, _findings_sql, _t, query
 from lodestack.sources import archives
 from lodestack.sources.tables import Bucketed, new_folder
 
@@ -204,3 +204,46 @@ def run_provenance(spark, sf_dir):
     history.write_cycles(cycles, path)
     history.write_cycles(cycles.where("cycle < 6").withColumn("score", F.col("score") * 2), path)
     return history.runs(history.read_cycles(spark, path), "score")
+
+
+_STYLED = """concat('---', chr(10), 'description: ', p_name, chr(10), 'model: ', p_type, chr(10), CASE WHEN p_retailprice > 1000 THEN concat('paths:', chr(10), '  - ', p_brand, chr(10)) ELSE '' END,
+    CASE WHEN p_size > 25 THEN concat('disable-model-invocation: true', chr(10)) ELSE '' END, '---', chr(10), 'body of ', p_name)"""
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size > 25 AS off, p_retailprice > 1000 AS path, 'description: ' || p_name AS d, 'model: ' || p_type AS m, chr(10) || '  - "' || p_brand || '"' AS items, p_brand,
+                            'body of ' || p_name || chr(10) AS body FROM part),
+          s AS (SELECT p_partkey, body, 'plain' AS style, concat_ws(chr(10), d, m, CASE WHEN path THEN 'paths:' || items END, CASE WHEN off THEN 'disable-model-invocation: true' END) AS head FROM p UNION ALL
+                SELECT p_partkey, body, 'switch', concat_ws(chr(10), d, CASE WHEN path THEN 'globs:' || items END, CASE WHEN off OR path THEN 'alwaysApply: false' ELSE 'alwaysApply: true' END) FROM p UNION ALL
+                SELECT p_partkey, body, 'trigger', concat_ws(chr(10), d, CASE WHEN off THEN 'trigger: manual' WHEN path THEN 'trigger: glob' ELSE 'trigger: always_on' END, CASE WHEN path THEN 'globs:' || items END) FROM p UNION ALL
+                SELECT p_partkey, body, 'inclusion', concat_ws(chr(10), 'name: part-' || p_partkey, d, CASE WHEN off THEN 'inclusion: manual' WHEN path THEN 'inclusion: fileMatch' ELSE 'inclusion: always' END, CASE WHEN path THEN 'fileMatchPattern: "' || p_brand || '"' END) FROM p UNION ALL
+                SELECT p_partkey, body, 'paths', CASE WHEN path THEN 'applyTo: "' || p_brand || '"' END FROM p)
+          SELECT p_partkey, style, CASE WHEN head IS NULL THEN body ELSE '---' || chr(10) || head || chr(10) || '---' || chr(10) || chr(10) || body END AS translated FROM s""")
+def front_matter_styles(spark, sf_dir):
+    """Front matter of parts, translated to each style."""
+    texts = _t(spark, sf_dir, "part").select("p_partkey", F.expr("concat('part-', p_partkey)").alias("name"), F.expr(_STYLED).alias("t"))
+    return formats.translate(texts, "name", "t", ["model"]).select("p_partkey", "style", "translated")
+
+
+def _escaped(x, more=""):
+    e = f"replace(replace(replace({x}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
+    return f"replace(replace({e}, ':', '%3A'), ',', '%2C')" if more else e
+
+
+@query(f"""WITH {_findings_sql(ALL_RULES)} SELECT f.doc_id, '::' || CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'notice' END || ' file=' || {_escaped("source || ':' || f.doc_id || ',100%.md'", "p")}
+           || ',line=' || line_number || ',title=' || {_escaped("code || ': ' || title", "p")} || '::' || {_escaped("line")} AS command
+           FROM (SELECT f.*, ls[line_number] AS line, source FROM f JOIN (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) USING (doc_id)) f""")
+def annotation_lines(spark, sf_dir):
+    """Findings as commands of a continuous-integration log, with file, line and the line's text, escaped."""
+    docs = _t(spark, sf_dir, "documents")
+    found = audit.findings(docs, ALL_RULES).join(docs.select("doc_id", "source", audit.lines(F.col("text")).alias("ls")), "doc_id")
+    level = F.when(F.col("severity") == "CRITICAL", "error").when(F.col("severity") == "WARNING", "warning").otherwise("notice")
+    file = F.concat("source", F.lit(":"), F.col("doc_id").cast("string"), F.lit(",100%.md"))
+    line = F.get("ls", (F.col("line_number") - 1).cast("int"))
+    return found.select("doc_id", catalog.workflow_line(level, file, F.col("line_number"), F.concat_ws(": ", "code", "title"), line).alias("command"))
+
+
+@query(f"""WITH {_findings_sql(ALL_RULES)}, b AS (SELECT doc_id, severity, severity || ' (' || count(*) || ')' || chr(10) || string_agg('  ' || code || ' line ' || line_number || ': ' || title, chr(10) ORDER BY line_number, code, title) AS t FROM f GROUP BY doc_id, severity)
+           SELECT doc_id, string_agg(t, chr(10) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END) AS text FROM b GROUP BY doc_id""")
+def finding_report(spark, sf_dir):
+    """Findings of each document as a text, grouped by severity."""
+    return catalog.report(audit.findings(_t(spark, sf_dir, "documents"), ALL_RULES), "doc_id")
