@@ -61,3 +61,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     given, kept = after["best-fit packing"]
     assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in given}
     assert len(given) < len(after["quality classifier"][0])
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Each stage keeps columns whose names the operators use themselves, and gives no rows for none."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, digest string, kept string, component_id long, score string, `_text` string, items string, length int, y int, key string"
+    rows = [(i, t, "en", None, 0, 7, "d", "k", 1, "s", "t", "i", 3, 2, None) for i, t in enumerate([None, "", "One line.\nAnother line of a quiet text.", "The river and the house are quiet today."])]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(spark, docs, SF)
+        some, none = out.collect(), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        if n < 4:
+            assert out.columns == docs.columns and none.columns == docs.columns
+            kept = {r["doc_id"]: tuple(r)[5:] for r in some}
+            assert all(v == rows[0][5:] for v in kept.values()) and 2 in kept
+        else:
+            assert {r["doc_id"] for r in some} >= {2, 3}
