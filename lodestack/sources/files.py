@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Folders that hold no text of their own, and suffixes of text.
 SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build")
@@ -39,11 +39,22 @@ def text_files(spark: SparkSession, root: str, largest: int = 1_000_000, suffixe
     return read.unionByName(described(listed).where("_why IS NOT NULL").select("path", "length", F.lit(None).cast("string").alias("text"), F.col("_why").alias("skipped")))
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a JSON-lines log; blank and malformed lines are left out, fields that schema has not are dropped."""
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, malformed: str | None = None) -> DataFrame:
+    """Rows of a JSON-lines log; blank lines are left out, and fields that schema has not are dropped.
+
+    A line is malformed if it is no JSON object or one of its fields is not of its type. Such lines are left out too, or, with a name
+    for it in `malformed`, are rows of nulls with the line in that column, which is null in all others.
+    """
     raw = spark.read.text(path).where(F.trim("value") != "")
-    parsed = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("value", "$").alias("whole"))
-    return parsed.where("whole IS NOT NULL AND r IS NOT NULL").select("r.*")
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = F.from_json("value", StructType([*fields.fields, StructField("_bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select("value", parsed.alias("r"))
+    good = F.ltrim("value").startswith("{") & F.col("r").isNotNull() & F.col("r._bad").isNull()
+    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    named = [F.when(F.col("_good"), F.col("r")[f.name]).alias(f.name) for f in fields.fields]
+    if malformed is None:
+        return rows.where("_good").select(*named)
+    return rows.select(*named, F.when(~F.col("_good"), F.col("value")).alias(malformed))
 
 
 def store_blobs(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

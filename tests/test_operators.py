@@ -184,6 +184,10 @@ def test_files_and_blobs(spark, tmp_path):
     assert got == {"a.md": ("x", None), "sub/b.py": ("y", None), "build/c.md": (None, "folder"), "d.bin": (None, "type"), "e.txt": (None, "encoding"), "f.md": (None, "size")}
     (tmp_path / "log").write_text('{"a": 1, "z": 2}\n\nnot json\n{"a": 3}\n')
     assert [r["a"] for r in files.json_lines(spark, f"file://{tmp_path}/log", "a int").collect()] == [1, 3]
+    (tmp_path / "odd").write_text('{"a": 1, "b": "x", "c": 9}\n\n[1]\n{"a": "x"}\n3\nnull\n{"b": "only"}\n{"a": 2\n {"a": 5}\n')
+    odd = files.json_lines(spark, f"file://{tmp_path}/odd", "a int, b string", malformed="line").collect()
+    assert sorted(map(str, ((r["a"], r["b"], r["line"]) for r in odd))) == sorted(map(str, [(1, "x", None), (None, None, "[1]"), (None, None, '{"a": "x"}'), (None, None, "3"), (None, None, "null"), (None, "only", None), (None, None, '{"a": 2'), (5, None, None)]))
+    assert files.json_lines(spark, f"file://{tmp_path}/odd", "a int, b string").count() == 3
     path = f"file://{tmp_path}/blobs"
     files.store_blobs(spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], DOCS), path)
     files.store_blobs(spark.createDataFrame([(1, "x"), (2, "w")], DOCS), path)
