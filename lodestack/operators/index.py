@@ -20,8 +20,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,45 +30,46 @@ from lodestack.operators.search import phrases, terms
 from lodestack.sources.tables import Bucketed, remove_folder
 
 #: Texts of a batch whose postings of one term one task writes, and terms of texts whose postings are laid together.
-SPREAD, TOGETHER = 1_000_000, 500_000
+SPREAD, TOGETHER = 1_000_000, 1_000_000
 
 
 def _layer(n: Column) -> Column:
     return F.floor(F.log2(F.greatest(n, F.lit(1))) / 2).cast("int")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, layer, ids, counts, places) of texts (id, words), some texts at a time."""
+def _laid(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    """(term, layer, ids, counts, places) of a few texts: their terms sorted by (term, layer), each text's in order."""
+    flat, bounds = words.flatten().dictionary_encode(), words.offsets.to_numpy().astype(np.int64)
+    n = np.diff(bounds)
+    text = np.repeat(np.arange(len(n)), n)
+    layer = np.maximum(np.frexp(np.maximum(n, 1))[1] - 1, 0) // 2  # the power of two below n, halved
+    key = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 64 + layer[text]
+    order = np.argsort(key, kind="stable")
+    key, text = key[order], text[order]
+    place = (order - (bounds[:-1] - bounds[0])[text]).astype(np.int32)
+    row = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    posting = np.union1d(row, np.flatnonzero(np.diff(text)) + 1)
+    first, of_row = posting[:-1], pa.array(np.searchsorted(posting, row), pa.int32())
+    lists = lambda ends, values: pa.ListArray.from_arrays(ends, values)
+    return pa.RecordBatch.from_arrays(
+        [flat.dictionary.take(pa.array(key[row[:-1]] // 64)).cast(pa.string()), pa.array((key[row[:-1]] % 64).astype(np.int32)), lists(of_row, ids.take(pa.array(text[first]))),
+         lists(of_row, pa.array(np.diff(posting).astype(np.int32))), lists(pa.array(row, pa.int32()), pa.array(place))],
+        ["term", "layer", "ids", "counts", "places"],
+    )
 
-    def flush(at: dict[tuple[str, int], tuple[list, list, list]], ids: pa.Array) -> pa.RecordBatch:
-        rows, counts, places = zip(*at.values())
-        flat = ids.take(pa.array([i for r in rows for i in r], pa.int64()))
-        ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in at], pa.string()), pa.array([x for _, x in at], pa.int32()), pa.ListArray.from_arrays(ends, flat), pa.array(counts, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))],
-            ["term", "layer", "ids", "counts", "places"],
-        )
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of texts (id, words), about TOGETHER terms at a time."""
     for batch in batches:
-        ids, words, held = batch.column(0), batch.column(1), 0
-        at: dict[tuple[str, int], tuple[list, list, list]] = {}
-        for i in range(len(ids)):
-            own: dict[str, list[int]] = {}
-            for k, w in enumerate(words[i].as_py()):
-                own.setdefault(w, []).append(k)
-            n = sum(map(len, own.values()))
-            layer = (max(n, 1).bit_length() - 1) // 2
-            for w, places in own.items():
-                rows, counts, flat = at.setdefault((w, layer), ([], [], []))
-                rows.append(i)
-                counts.append(len(places))
-                flat += places
-            held += n
-            if held >= TOGETHER:
-                yield flush(at, ids)
-                at, held = {}, 0
-        if at:
-            yield flush(at, ids)
+        ids, words = batch.column(0), batch.column(1)
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        i = 0
+        while i < len(ids):
+            start = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, start + TOGETHER)))
+            if ends[min(j, len(ids)) - 1] > start:
+                yield _laid(ids.slice(i, j - i), words.slice(i, j - i))
+            i = j
 
 
 class SearchIndex:

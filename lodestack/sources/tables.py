@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,13 +52,15 @@ class Bucketed:
             if parts:
                 spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
-    def append(self, rows: DataFrame, spread_by: str | None = None, spread: int = 1) -> None:
-        salt = [F.pmod(F.xxhash64(spread_by), F.lit(spread))] if spread_by and spread > 1 else []
+    def append(self, rows: DataFrame, spread_by: str | Column | None = None, spread: int = 1, same: dict[str, Column] | None = None) -> None:
+        """same: columns with one value in all rows, which are not shuffled."""
+        salt = [F.pmod(F.xxhash64(spread_by), F.lit(spread))] if spread_by is not None and spread > 1 else []
         columns = self.spark.table(self.name).columns
         if salt:
             rows = rows.repartition(self.buckets * spread, F.pmod(F.hash(self.key), F.lit(self.buckets)), *salt)
         else:
             rows = rows.repartition(self.buckets, self.key)
+        rows = rows.withColumns(same or {})
         if self.parts:
             rows = rows.sortWithinPartitions(*self.parts, self.key)
         rows.select(*columns).write.mode("append").insertInto(self.name)
