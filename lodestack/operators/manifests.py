@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.yaml import yaml_json
+from lodestack.sources.tables import spread
 
 #: Fields that the entries of a manifest's lists may have, and those that they must have.
 FIELDS = {"metadata.authors": (["name", "email"], ["name"]), "spec.parameters": (["name", "type", "required", "default", "description", "values"], ["name", "type"]), "spec.dependencies": (["name", "version"], ["name", "version"])}
@@ -75,9 +76,7 @@ def load(files: DataFrame, api_version: str, section: str, folder: str = "folder
     Front matter that is no YAML mapping counts as none. Of files with one name in a folder the largest text counts; a null text is no file.
     """
     of = lambda n: F.max(F.when(F.col(name) == n, F.col(text)))
-    # by a given number, so that partitions that are small in bytes are not joined: the fold costs far more than its bytes tell
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = files.repartition(n, folder).groupBy(folder).agg(of("skill.yaml").alias("_yaml"), of("SKILL.md").alias("_md")).withColumnRenamed(folder, "folder")
+    rows = spread(files, folder).groupBy(folder).agg(of("skill.yaml").alias("_yaml"), of("SKILL.md").alias("_md")).withColumnRenamed(folder, "folder")
     head, body = head_and_body(F.col("_md"))
     source = F.when(F.col("_yaml").isNotNull(), "yaml").when(F.col("_md").isNotNull(), "markdown")
     rows = rows.select("folder", source.alias("source"), "_md", body.alias("_body"), F.when(source == "yaml", F.col("_yaml")).otherwise(head).alias("_head"))

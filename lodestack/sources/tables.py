@@ -33,6 +33,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt to as many tasks as shuffles have: for work that costs far more than the bytes of its rows tell, which a scan
+    of a small file would leave to one task and adaptive joining of partitions to a few."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, *by)
+
+
 class Bucketed:
     """Parquet files under path, bucketed and sorted by key; the same path gives the same table in a later session.
 

@@ -62,3 +62,10 @@ def test_styles(spark):
         else:
             want = expected(r["name"], {}, r["text"] or "", r["style"])
         assert r["translated"] == want, (r["name"], r["style"])
+
+
+def test_one_small_file_is_dealt_to_many_tasks(spark):
+    texts = spark.createDataFrame([(f"n{i}", HEADS[0], "s") for i in range(40)], "name string, text string, s string").coalesce(1)
+    out = translate(texts, "name", "text", OWN)
+    assert out.rdd.getNumPartitions() >= 4 and out.count() == 40 * len(STYLES)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 60_000  # parsed once, not once a field and style
