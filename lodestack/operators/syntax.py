@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.sources.tables import new_folder
+from lodestack.sources.tables import new_folder, spread
 
 # Calls that are findings, by name or by where they come from, with code and title.
 BUILTINS = {
@@ -25,6 +25,7 @@ SHELL = ("SEC-003-AST", "Subprocess with shell=True")
 CONCATENATED = ("SEC-008-AST", "Base64 decode of literal-concatenation")
 
 _KEPT = (ast.Call, ast.Name, ast.Attribute, ast.Constant, ast.BinOp, ast.keyword, ast.Import, ast.ImportFrom, ast.alias)
+_BARE = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop)  # without children, and never kept
 _COLUMNS = [("node", pa.int32()), ("parent", pa.int32()), ("field", pa.string()), ("kind", pa.string()), ("line", pa.int64()), ("name", pa.string()), ("other", pa.string())]
 _DDL = "node int, parent int, field string, kind string, line bigint, name string, other string"
 ROWS = 20_000
@@ -61,10 +62,12 @@ def _nodes_of(text: str) -> Iterator[tuple]:
         n, parent, field = queue[at]
         if isinstance(n, _KEPT):
             yield at, parent, field, type(n).__name__, getattr(n, "lineno", None), *_described(n)
-        for name, value in ast.iter_fields(n):
-            for k, child in enumerate(value if isinstance(value, list) else [value]):
-                if isinstance(child, ast.AST):
-                    queue.append((child, at, f"{name}{k}" if isinstance(value, list) else name))
+        for name in n._fields:
+            value = getattr(n, name, None)
+            if isinstance(value, list):
+                queue += [(child, at, f"{name}{k}") for k, child in enumerate(value) if isinstance(child, ast.AST)]
+            elif isinstance(value, ast.AST) and not isinstance(value, _BARE):
+                queue.append((value, at, name))
         at += 1
 
 
@@ -87,7 +90,7 @@ def nodes(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
             if rows:
                 yield flush(rows)
 
-    return files.select(F.col(path).alias("path"), text).mapInArrow(work, f"path {kind}, {_DDL}")
+    return spread(files.select(F.col(path).alias("path"), text)).mapInArrow(work, f"path {kind}, {_DDL}")
 
 
 def _saved(df: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 import pytest
-from lodestack.operators.syntax import strict_findings
+from lodestack.operators.syntax import nodes, strict_findings
 
 FILES = {
     "alias.py": ("from pickle import loads as L\nimport pickle as p\nimport xml.etree.ElementTree as ET\nL(x)\np.loads(\n  y)\nET.parse(x)\np.q.loads(x)\nloads(x)\n", {(4, "SEC-006-AST"), (5, "SEC-006-AST")}),
@@ -34,3 +34,9 @@ def test_long_chains(spark, n):
     text = f"import pickle as p\np{'.x' * n}.loads(y)\nb64decode({' + '.join(['1'] * n)})\nfrom base64 import b64decode\nb64decode({' + '.join([chr(34) + 'A' + chr(34)] * 12)})\n"
     rows = strict_findings(spark.createDataFrame([("a", text)], "path string, text string")).collect()
     assert [(r["line_number"], r["code"]) for r in rows] == [(5, "SEC-008-AST")]
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.createDataFrame([(str(i), "f(x)") for i in range(40)], "path string, text string").coalesce(1)
+    tree = nodes(files)
+    assert tree.rdd.getNumPartitions() >= 4 and tree.select("path").distinct().count() == 40
