@@ -101,3 +101,19 @@ def test_no_archives(spark, tmp_path):
     assert archives.read_archives(spark, f"file://{tmp_path}").count() == 0
     archives.export_archives(entries(spark, 3).limit(0), f"file://{tmp_path}/a")
     assert archives.read_archives(spark, f"file://{tmp_path}/a").count() == 0
+
+
+def test_exported_parts_are_many_archives(spark, tmp_path):
+    import pandas as pd
+    from lodestack.plans.stores import archive_round_trip
+
+    parts = pd.DataFrame({"p_partkey": range(80), "p_name": "n", "p_brand": "Brand#1", "p_type": ["ECONOMY", "SMALL"] * 40, "p_size": 1, "p_retailprice": 9.5})
+    spark.createDataFrame(parts).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    spark_read = archives.read_archives
+    try:
+        transfer.read_archives = lambda s, path, **o: seen.append(spark_read(s, path, **o)) or seen[-1]
+        assert archive_round_trip(spark, str(tmp_path)).where("status = 'imported'").count() == 80
+    finally:
+        transfer.read_archives = spark_read
+    assert seen[0].rdd.getNumPartitions() >= 8
