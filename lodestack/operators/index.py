@@ -17,6 +17,7 @@ the last rank found. So common terms cost a few layers of their postings, and th
 """
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from lodestack.operators.search import phrases, terms
 from lodestack.sources.tables import Bucketed, remove_folder
 
-#: Texts of a batch whose postings of one term one task writes, and terms of texts whose postings are laid together.
-SPREAD, TOGETHER = 1_000_000, 1_000_000
+#: Terms of texts whose postings one task writes, about, and whose postings are laid together: they bound what a task sorts and holds.
+WRITTEN, TOGETHER = 2_000_000, 500_000
 
 
 def _layer(n: Column) -> Column:
@@ -76,7 +77,7 @@ class SearchIndex:
     """An index under path. id_type and stored are types of the id and of columns to filter and sort by (name: type), in DDL."""
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", stored: dict[str, str] | None = None, buckets: int = 32):
-        self.spark, self.path, self.stored = spark, path, dict(stored or {})
+        self.spark, self.path, self.stored, self.buckets = spark, path, dict(stored or {}), buckets
         columns = "".join(f", `{k}` {t}" for k, t in self.stored.items())
         table = lambda name, schema, key, parts=(): Bucketed(spark, f"{path}/{name}", f"{schema}, batch string", key, buckets, parts)
         self.postings = table("postings", f"term string, ids array<{id_type}>, counts array<int>, places array<int>, layer int", "term", ("layer",))
@@ -124,7 +125,7 @@ class SearchIndex:
             cut = cut.groupBy("id").agg(F.min_by("_w", "_h").alias("_w"))
         kind = rows.schema["id"].dataType.simpleString()
         found = cut.select("id", "_w").mapInArrow(_postings, f"term string, layer int, ids array<{kind}>, counts array<int>, places array<int>")
-        self.postings.append(found, spread_by=F.get("ids", F.lit(0)), spread=max(1, texts // SPREAD), same={"batch": F.lit(batch)})
+        self.postings.append(found, spread_by=F.get("ids", F.lit(0)), spread=max(1, math.ceil(words / WRITTEN / self.buckets)), same={"batch": F.lit(batch)})
         own = self.postings.read().where(F.col("batch") == batch)
         self.stats.append(own.groupBy("term", "layer").agg(F.sum(F.size("ids")).alias("texts"), F.max(F.array_max("counts")).cast("bigint").alias("most")), same={"batch": F.lit(batch)})
         self._commit(batch, texts, words)
@@ -141,7 +142,8 @@ class SearchIndex:
         texts, words = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.removed.append(gone.select("id", F.lit(batch).alias("batch")))
         own = self.removed.read().where(F.col("batch") == batch).select("id")
-        left = self._live(self._each(self.postings.read(), False)).join(own.hint("merge"), "id", "left_semi")
+        # ids are hashed, so that the postings, which are far more, are not sorted
+        left = self._live(self._each(self.postings.read(), False)).join(own.hint("shuffle_hash"), "id", "left_semi")
         self.stats.append(left.groupBy("term", "layer").agg((-F.count(F.lit(1))).alias("texts"), F.lit(0).cast("bigint").alias("most")), same={"batch": F.lit(batch)})
         self._commit(batch, -texts, -words)
         return texts
