@@ -236,8 +236,16 @@ def _send_elements(key: np.ndarray, s1: np.ndarray, s2: np.ndarray, buckets: int
     yield from exchange.pack(_bucket(np.concatenate([key[send], sets[0]]), buckets), records)
 
 
-def _count_elements(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(s1, s2, shared): how many of a set's necessary elements another set of the bucket has too, and counts passed on."""
+def _added(s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of a set added up."""
+    order = np.lexsort((s2, s1))
+    s1, s2, n = s1[order], s2[order], n[order]
+    first = _firsts(exchange.runs(s1, s2))
+    return s1[first], s2[first], np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
+
+
+def _count_elements(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """(s1, s2, shared), packed by the set's bucket: how many of a set's necessary elements another set of the bucket has too, and counts passed on."""
     key, s1, s2, kind = exchange.unpack(pdf, np.uint64, np.uint64, np.uint32, np.uint8)
     done = kind == COUNT
     counted = key[done].astype(np.int64), s1[done], s2[done]
@@ -248,13 +256,15 @@ def _count_elements(pdf: pd.DataFrame) -> pd.DataFrame:
     new = _firsts(exchange.runs(key, s1, s2))
     several = (np.bincount(run, weights=new) > 1) | (np.bincount(run, weights=kind == SHARED) > 0)
     keep = new & several[run] & (kind == LONE)  # a set that two tasks have counted for a key counts twice: never too few
-    one, two = np.concatenate([s1[keep], counted[1]]), np.concatenate([s2[keep], counted[2]])
-    n = np.concatenate([np.ones(int(keep.sum()), np.int64), counted[0]])
-    order = np.lexsort((two, one))
-    one, two, n = one[order], two[order], n[order]
-    first = _firsts(exchange.runs(one, two))
-    total = np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
-    return pd.DataFrame({"s1": signed(one[first]), "s2": two[first].astype(np.int64), "shared": total})
+    counts = _added(np.concatenate([s1[keep], counted[1]]), np.concatenate([s2[keep], counted[2]]), np.concatenate([np.ones(int(keep.sum()), np.int64), counted[0]]))
+    rows = [x.to_pandas() for x in exchange.pack(_bucket(counts[0], buckets), counts)]
+    return rows[0] if rows else pd.DataFrame({c: [] for c in ("bucket", "c0", "c1", "c2")})
+
+
+def _sum_elements(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(s1, s2, shared) of each set of a bucket, once."""
+    s1, s2, n = _added(*exchange.unpack(pdf, np.uint64, np.uint32, np.int64))
+    return pd.DataFrame({"s1": signed(s1), "s2": s2.astype(np.int64), "shared": n})
 
 
 def _send_partners(key: np.ndarray, sid: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -366,8 +376,9 @@ def similarity_classes(
             yield from _send_elements(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
     packed = source.select("_text").mapInArrow(elements, exchange.schema(4))
-    shared = packed.groupBy("bucket").applyInPandas(_count_elements, "s1 long, s2 long, shared long")
-    shared = shared.groupBy(F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).agg(F.sum("shared").alias("shared"))
+    # a set has a count in each bucket that shares an element of it, up to as many as it sends: packed, they are no rows of their own
+    counts = packed.groupBy("bucket").applyInPandas(lambda pdf: _count_elements(pdf, buckets), exchange.schema(3))
+    shared = counts.groupBy("bucket").applyInPandas(_sum_elements, "s1 long, s2 long, shared long").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "shared")
     classes = described.where("n > 0").groupBy("s1", "s2").agg(
         F.min("_id").alias("low"), F.coalesce(F.min_by("_tag", "_id"), F.min("_tag")).alias("t"), F.coalesce(F.min_by("_tag2", "_id"), F.min_by("_tag2", "_tag")).alias("t2"),
         F.max("n").alias("n"), *[F.max(p).alias(p) for p in SKETCH],

@@ -178,3 +178,22 @@ def test_columns_may_have_any_name(spark):
     rows = [(1, "a b c d e", 1, 2, 3, 4), (2, "a b c d e", 1, 2, 3, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long, _id long, component long, sid long")
     assert [r["component_id"] for r in similarity_classes(docs).collect()] == [1, 1]
+
+
+def test_counts_of_a_set_are_packed_and_added_once():
+    import numpy as np
+    import pandas as pd
+    from lodestack.llm import exchange, jaccard_join as j
+
+    rng = np.random.default_rng(3)
+    sets = {(i, i % 7): set(rng.integers(0, 400, 30).tolist()) for i in range(60)}
+    records = [(np.uint64(e), np.uint64(a), np.uint32(b)) for (a, b), s in sets.items() for e in sorted(s)]
+    split = lambda rows: pd.concat([pd.DataFrame({"bucket": x.column(0).to_pylist(), **{f"c{i}": x.column(i + 1).to_pylist() for i in range(x.num_columns - 1)}}) for x in rows])
+    sent = split([x for part in (records[:900], records[900:]) for x in j._send_elements(*map(np.array, zip(*part, strict=True)), 16)])
+    counts = pd.concat([j._count_elements(g, 16) for _, g in sent.groupby("bucket")])
+    assert len(counts) <= 16 * 16  # rows are told by buckets, not by sets and their elements
+    got = pd.concat([j._sum_elements(g) for _, g in counts.groupby("bucket")])
+    assert len(got) == len(set(zip(got["s1"], got["s2"]))) <= len(sets)
+    found = {(a, b): n for a, b, n in got.itertuples(index=False)}
+    for k, s in sets.items():
+        assert found.get(k, 0) >= sum(any(e in t for o, t in sets.items() if o != k) for e in s)  # never too few
