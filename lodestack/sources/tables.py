@@ -64,7 +64,8 @@ class Bucketed:
         salt = [F.pmod(F.xxhash64(spread_by), F.lit(spread))] if spread_by is not None and spread > 1 else []
         columns = self.spark.table(self.name).columns
         if salt:
-            rows = rows.repartition(self.buckets * spread, F.pmod(F.hash(self.key), F.lit(self.buckets)), *salt)
+            # by number, since hashes of so few pairs would meet: some tasks would have several, others none
+            rows = rows.repartitionById(self.buckets * spread, (F.pmod(F.hash(self.key), F.lit(self.buckets)) * spread + salt[0]).cast("int"))
         else:
             rows = rows.repartition(self.buckets, self.key)
         rows = rows.withColumns(same or {})

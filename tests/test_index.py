@@ -93,3 +93,16 @@ def test_empty_index(spark, tmp_path):
     index = SearchIndex(spark, f"file://{tmp_path}/i", stored=STORED, buckets=2)
     assert index.add(spark.createDataFrame([], SCHEMA)) == 0
     assert index.page("the", created="at").count() == 0 and index.page(created="at").count() == 0
+
+
+def test_spread_postings_have_a_task_for_each_bucket_and_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestack.operators.index.WRITTEN", 200)
+    monkeypatch.setattr("lodestack.operators.index.TOGETHER", 50)
+    data = spark.createDataFrame(rows(4, 60), SCHEMA)
+    index = SearchIndex(spark, f"file://{tmp_path}/i", stored=STORED, buckets=2)
+    index.add(data)
+    files = index.postings.read().select(F.input_file_name().alias("f"), F.pmod(F.hash("term"), F.lit(2)).alias("b"), "layer").distinct()
+    assert files.groupBy("f").count().where("count > 1").count() == 0
+    assert files.where("layer = 3").count() > 2  # more tasks than buckets
+    want = [tuple(r) for r in search.page(data, "the", created="at").collect()]
+    assert [tuple(r) for r in index.page("the", created="at").collect()] == want
